@@ -1,16 +1,18 @@
 """Exact n-gram Jaccard join with adaptive multi-match prefixes.
 
 A text is the set of its 5-word shingles. Shingles are ordered by how often they were seen in the corpus, rarest first,
-so that a set's prefix holds its rarest shingles: two sets with a Jaccard similarity of t or more share at least l
-shingles within their first n - ceil(t n) + l ones. A text whose prefix meets frequent shingles takes a longer prefix
-and asks for more shared ones (l up to ``max_level``), as the estimated cost of its candidates says; the others take
-l = 1. The order and l steer cost only, never the result.
+so that a set's prefix holds its rarest shingles. With prefixes of any lengths p and q, two sets of n and m shingles
+share at most max(n - p, m - q) ones beyond those that are in both prefixes; so sets with a Jaccard similarity of t or
+more, which share a = ceil(t / (1 + t) (n + m)) at least, have a - max(n - p, m - q) shingles in both prefixes. A prefix
+of n - ceil(t n) + 1 asks for one at least. A text whose prefix meets frequent shingles takes a longer one, as the
+estimated cost of its candidates says, and is asked for correspondingly more. Order and lengths steer cost only, never
+the result.
 
 Copies never meet pairwise:
 
 1. Equal sets become one node, found by hashes of the whole set.
-2. Every shingle's list of nodes is tied to one of them (a star), the best tie of each node is verified, and the verified
-   ties give first groups. A list within one group is done.
+2. Every shingle's list of nodes is tied to the one whose shingles are the best known in the corpus (a star), the best
+   tie of each node is verified, and the verified ties give first groups. A list within one group is done.
 3. In the other lists all pairs between different groups are counted, but only by joining the nodes outside of a list's
    largest group with the list. Pairs with enough shared shingles are verified on the whole sets.
 
@@ -36,7 +38,8 @@ from .storage import bounded, materialise
 class JaccardJoin:
     words: int = 5
     percent: int = 80
-    max_level: int = 4
+    #: Shingles that a prefix may be longer than the shortest valid one.
+    longer_by: tuple[int, ...] = (0, 1, 3, 7)
     #: How many shingles' frequencies steer the order; the others count as rare.
     frequent_shingles: int = 200_000
     #: Nodes of one frequent shingle that one task should meet at most, by estimate, in the first tie.
@@ -99,17 +102,21 @@ def _profile(docs: DataFrame, how: JaccardJoin) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, how: JaccardJoin, tokens: np.ndarray, times: np.ndarray) -> DataFrame:
-    """(token, salt, fp, n, level, ell): each node's prefix, once for each task that meets the node."""
+    """(token, salt, fp, n, rest, known): each node's prefix, once for each task that meets the node.
+
+    rest: shingles beyond the prefix. known: thousandths of the set's shingles that are frequent ones.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((tokens, times))
 
-    def levels(n: int, cost: np.ndarray) -> int:
-        need = _least_overlap(n, how.percent)
-        best, least = 1, None
-        for ell in range(1, min(how.max_level, need) + 1):
-            seen = cost[: n - need + ell]
-            now = float(seen.sum()) * (1 + how.verify_cost / ell) + len(seen)
+    def length(n: int, cost: np.ndarray) -> int:
+        shortest = n - _least_overlap(n, how.percent) + 1
+        best, least = shortest, None
+        for more in how.longer_by:
+            size = min(n, shortest + more)
+            seen = float(cost[:size].sum())
+            now = seen + how.verify_cost * seen / (1 + more) + size
             if least is None or now < least:
-                best, least = ell, now
+                best, least = size, now
         return best
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,23 +138,28 @@ def _prefixes(docs: DataFrame, how: JaccardJoin, tokens: np.ndarray, times: np.n
                         if often.any():
                             order = np.argsort(often, kind="stable")
                             s, often = s[order], often[order]
-                    need = _least_overlap(n, how.percent)
-                    size = min(n, n - need + how.max_level)
-                    ell = levels(n, often)
+                    size = length(n, often)
                     salts = 1 + often[:size] // how.list_rows
-                    parts.append((s[:size], (key[0] % salts) * (salts > 1), np.maximum(1, np.arange(size) - (n - need) + 1), key, ell))
+                    parts.append((s[:size], (key[0] % salts) * (salts > 1), key, int(1000 * np.count_nonzero(often) / n)))
                 if parts:
                     sizes = [len(p[0]) for p in parts]
+                    each = lambda values, kind: pa.array(np.repeat(np.array(values, kind), sizes))
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(signed(np.concatenate([p[0] for p in parts]))), pa.array(np.concatenate([p[1] for p in parts]).astype(np.int32)),
-                            pa.array(np.repeat(np.array([p[3][0] for p in parts], np.int64), sizes)), pa.array(np.repeat(np.array([p[3][1] for p in parts], np.int32), sizes)),
-                            pa.array(np.concatenate([p[2] for p in parts]).astype(np.int8)), pa.array(np.repeat(np.array([p[4] for p in parts], np.int8), sizes)),
+                            each([p[2][0] for p in parts], np.int64), each([p[2][1] for p in parts], np.int32),
+                            each([p[2][1] - size for p, size in zip(parts, sizes, strict=True)], np.int32), each([p[3] for p in parts], np.int16),
                         ],
-                        ["token", "salt", "fp", "n", "level", "ell"],
+                        ["token", "salt", "fp", "n", "rest", "known"],
                     )
 
-    return docs.select("id", "text").mapInArrow(run, "token long, salt int, fp long, n int, level tinyint, ell tinyint")
+    return docs.select("id", "text").mapInArrow(run, "token long, salt int, fp long, n int, rest int, known smallint")
+
+
+def _least_shared(n, m, rest, rest2, percent: int):
+    """Shingles that the prefixes of two similar sets share at least."""
+    overlap = F.ceil(percent * (n + m) / (100.0 + percent) - 1e-9)
+    return F.greatest(overlap - F.greatest(rest, rest2), F.lit(1))
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -206,30 +218,33 @@ def jaccard_components(docs: DataFrame, how: JaccardJoin | None = None, *, id_co
 
     dealt = _prefixes(docs, how, tokens[order], often["times"].to_numpy(np.int64)[order]).repartition("token", "salt").dropDuplicates(["token", "salt", "fp", "n"])
     part = Window.partitionBy("token", "salt")
-    lists = dealt.withColumn("pivot", F.min(F.struct("n", "fp")).over(part)).withColumn("size", F.count("*").over(part)).withColumn("hot", F.max("salt").over(part) > 0)
-    lists = materialise(lists.where("size > 1 or hot").select("token", "fp", "n", "level", "ell", F.col("pivot.fp").alias("fp2"), F.col("pivot.n").alias("n2")), "lists")
+    lists = dealt.withColumn("pivot", F.max(F.struct("known", "n", "fp", "rest")).over(part)).withColumn("size", F.count("*").over(part)).withColumn("hot", F.max("salt").over(part) > 0)
+    lists = materialise(lists.where("size > 1 or hot").select("token", "fp", "n", "rest", F.col("pivot.fp").alias("fp2"), F.col("pivot.n").alias("n2"), F.col("pivot.rest").alias("rest2")), "lists")
+
+    def near(n, m):
+        return 100 * F.least(n, m) >= how.percent * F.greatest(n, m)
 
-    similar = (100 * F.least("n", "n2") >= how.percent * F.greatest("n", "n2"))
-    ties = lists.where(((F.col("fp") != F.col("fp2")) | (F.col("n") != F.col("n2"))) & similar).groupBy("fp", "n", "fp2", "n2").agg(F.count("*").alias("shared"))
-    best = ties.groupBy("fp", "n").agg(F.max(F.struct("shared", "fp2", "n2")).alias("b")).where(F.col("b.shared") * 100 >= 25 * (F.col("n") * (100 - how.percent) / 100 + 1))
+    ties = lists.where(((F.col("fp") != F.col("fp2")) | (F.col("n") != F.col("n2"))) & near("n", "n2")).groupBy("fp", "n", "rest", "fp2", "n2", "rest2").agg(F.count("*").alias("shared"))
+    ties = ties.where(F.col("shared") >= _least_shared(F.col("n"), F.col("n2"), F.col("rest"), F.col("rest2"), how.percent))
+    best = ties.groupBy("fp", "n").agg(F.max(F.struct("shared", "fp2", "n2")).alias("b"))
     first = materialise(_verified(docs, best.select("fp", "n", "b.fp2", "b.n2"), nodes, how), "links")
 
     groups = materialise(connected_components(first), "groups")
-    placed = nodes.join(groups.withColumnRenamed("vertex", "rep"), "rep", "left").select("fp", "n", F.coalesce("component", "rep").alias("group"))
-    placed = lists.select("token", "fp", "n", "level", "ell").join(placed, ["fp", "n"])
+    # k: lists that a node stands in, the most that it can share with another
+    placed = lists.groupBy("fp", "n").agg(F.count("*").cast("int").alias("k")).join(nodes, ["fp", "n"]).join(groups.withColumnRenamed("vertex", "rep"), "rep", "left").select("fp", "n", "k", F.coalesce("component", "rep").alias("group"))
+    placed = lists.select("token", "fp", "n", "rest").join(placed, ["fp", "n"])
     shares = placed.groupBy("token", "group").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "group")).alias("m"), F.count("*").alias("g")).where("g > 1")
     open_lists = materialise(placed.join(shares.select("token", F.col("m.group").alias("main")), "token"), "open")
     a, b = open_lists.where("group <> main").alias("a"), open_lists.alias("b")
-    level = F.greatest("a.ell", "b.ell")
+    least = _least_shared(F.col("a.n"), F.col("b.n"), F.col("a.rest"), F.col("b.rest"), how.percent)
     met = a.join(
         b,
-        (F.col("a.token") == F.col("b.token")) & (F.col("a.group") != F.col("b.group")) & (F.col("a.level") <= level) & (F.col("b.level") <= level)
-        & (100 * F.least("a.n", "b.n") >= how.percent * F.greatest("a.n", "b.n"))
+        (F.col("a.token") == F.col("b.token")) & (F.col("a.group") != F.col("b.group")) & near(F.col("a.n"), F.col("b.n")) & (F.least("a.k", "b.k") >= least)
         & ((F.col("b.group") == F.col("b.main")) | (F.struct("a.group", "a.n", "a.fp") < F.struct("b.group", "b.n", "b.fp"))),
     )
     # a pair may be met from either side in different lists
     low, high = F.least(F.struct("a.fp", "a.n"), F.struct("b.fp", "b.n")), F.greatest(F.struct("a.fp", "a.n"), F.struct("b.fp", "b.n"))
-    pairs = met.select(low.alias("x"), high.alias("y"), level.alias("ell")).groupBy("x", "y").agg(F.count("*").alias("shared"), F.first("ell").alias("ell")).where("shared >= ell")
+    pairs = met.select(low.alias("x"), high.alias("y"), least.alias("least")).groupBy("x", "y").agg(F.count("*").alias("shared"), F.first("least").alias("least")).where("shared >= least")
     second = _verified(docs, pairs.select("x.fp", "x.n", F.col("y.fp").alias("fp2"), F.col("y.n").alias("n2")), nodes, how)
 
     # texts under one id are one document
