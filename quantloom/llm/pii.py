@@ -115,6 +115,11 @@ def _written(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
 
+def _disclosure(n_term: str, n: int) -> Column:
+    """PMI over information content, from the counts of n texts."""
+    return 1 - F.log(F.least(F.col("n_both") / F.col(n_term), F.lit(1.0))) / F.log(F.col("n_entity") / F.lit(float(n)))
+
+
 def revealing_terms(docs: DataFrame, how: Disclosure, text_column: str) -> tuple[DataFrame, DataFrame] | None:
     """(term, disclosure) of the terms over the threshold, and (key, term) of the texts that hold them; None if there are none."""
     texts = docs.select(F.coalesce(F.col(text_column), F.lit("")).alias("text"))
@@ -128,15 +133,16 @@ def revealing_terms(docs: DataFrame, how: Disclosure, text_column: str) -> tuple
     seen = entities.select(F.explode(near).alias("x")).select("x.entity", F.xxhash64("x.words").alias("context"), F.explode(F.array_distinct("x.words")).alias("term"))
     joint = seen.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("contexts"))
     held = entities.select(F.explode(F.array_distinct(F.transform("s", lambda s: F.concat_ws(":", s["kind"], s["value"])))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    candidates = materialise(joint.where(F.col("contexts") >= how.min_contexts).join(held, "entity"), "candidates")
+    # a term occurs in as many texts at least as it stands near any entity in, which bounds what it can disclose
+    anywhere = entities.select(F.explode(F.array_distinct(F.flatten(F.transform(near, lambda x: x["words"])))).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
+    candidates = joint.where(F.col("contexts") >= how.min_contexts).join(held, "entity").join(anywhere, "term").where(F.col("n_entity") < n)
+    candidates = materialise(candidates.where(_disclosure("n_near", n) >= how.threshold).drop("n_near"), "candidates")
     if candidates.isEmpty():
         return None
     words = texts.select(F.md5(F.col("text").cast("binary")).alias("key"), F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
     mentions = materialise(words.join(bounded(candidates.select("term").distinct()), "term"), "mentions")
     known = candidates.join(mentions.groupBy("term").agg(F.count("*").alias("n_term")), "term")
-    # within its window a term may stand near an entity more often than there are texts
-    given = F.least(F.col("n_both") / F.col("n_term"), F.lit(1.0))
-    known = known.where(F.col("n_entity") < n).withColumn("disclosure", 1 - F.log(given) / F.log(F.col("n_entity") / F.lit(float(n))))
+    known = known.withColumn("disclosure", _disclosure("n_term", n))
     flagged = materialise(known.where(F.col("disclosure") >= how.threshold).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "terms")
     return None if flagged.isEmpty() else (flagged, mentions.join(bounded(flagged.select("term")), "term").distinct())
 
