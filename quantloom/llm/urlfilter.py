@@ -27,7 +27,7 @@ _LINK = r"(?i)<a\s[^<>]*?href\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s<>]+)"
 class LinkTrust:
     damping: float = 0.85
     rounds: int = 10
-    share: float = 1.0
+    share: float = 0.5
     #: Rounds whose plan runs as one job.
     rounds_per_table: int = 5
 
