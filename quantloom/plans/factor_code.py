@@ -157,7 +157,7 @@ def _run(panel: DataFrame, code: str, keys: list[str], entry: str | None, argume
         return pd.DataFrame({DATE: pdf[DATE].to_numpy(), SYMBOL: pdf[SYMBOL].to_numpy(), "value": np.where(np.isfinite(values), values, np.nan)})
 
     narrow = panel.select(DATE, SYMBOL, *columns)
-    grouped = narrow.groupBy(*keys) if keys else narrow.groupBy(F.lit(0))
+    grouped = narrow.groupBy(*keys)
     out = grouped.applyInPandas(run, f"{DATE} date, {SYMBOL} string, value float")
     return out.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
