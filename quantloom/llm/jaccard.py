@@ -104,7 +104,7 @@ def _profile(docs: DataFrame, how: JaccardJoin) -> DataFrame:
 def _prefixes(docs: DataFrame, how: JaccardJoin, tokens: np.ndarray, times: np.ndarray) -> DataFrame:
     """(token, salt, fp, n, rest, known): each node's prefix, once for each task that meets the node.
 
-    rest: shingles beyond the prefix. known: thousandths of the set's shingles that are frequent ones.
+    salt: part of a long list, -1 for a list in one part. rest: shingles beyond the prefix. known: thousandths of the set's shingles that are frequent ones.
     """
     shared = docs.sparkSession.sparkContext.broadcast((tokens, times))
 
@@ -140,7 +140,7 @@ def _prefixes(docs: DataFrame, how: JaccardJoin, tokens: np.ndarray, times: np.n
                             s, often = s[order], often[order]
                     size = length(n, often)
                     salts = 1 + often[:size] // how.list_rows
-                    parts.append((s[:size], (key[0] % salts) * (salts > 1), key, int(1000 * np.count_nonzero(often) / n)))
+                    parts.append((s[:size], np.where(salts > 1, key[0] % salts, -1), key, int(1000 * np.count_nonzero(often) / n)))
                 if parts:
                     sizes = [len(p[0]) for p in parts]
                     each = lambda values, kind: pa.array(np.repeat(np.array(values, kind), sizes))
@@ -218,8 +218,8 @@ def jaccard_components(docs: DataFrame, how: JaccardJoin | None = None, *, id_co
 
     dealt = _prefixes(docs, how, tokens[order], often["times"].to_numpy(np.int64)[order]).repartition("token", "salt").dropDuplicates(["token", "salt", "fp", "n"])
     part = Window.partitionBy("token", "salt")
-    lists = dealt.withColumn("pivot", F.max(F.struct("known", "n", "fp", "rest")).over(part)).withColumn("size", F.count("*").over(part)).withColumn("hot", F.max("salt").over(part) > 0)
-    lists = materialise(lists.where("size > 1 or hot").select("token", "fp", "n", "rest", F.col("pivot.fp").alias("fp2"), F.col("pivot.n").alias("n2"), F.col("pivot.rest").alias("rest2")), "lists")
+    lists = dealt.withColumn("pivot", F.max(F.struct("known", "n", "fp", "rest")).over(part)).withColumn("size", F.count("*").over(part))
+    lists = materialise(lists.where("size > 1 or salt >= 0").select("token", "fp", "n", "rest", F.col("pivot.fp").alias("fp2"), F.col("pivot.n").alias("n2"), F.col("pivot.rest").alias("rest2")), "lists")
 
     def near(n, m):
         return 100 * F.least(n, m) >= how.percent * F.greatest(n, m)
