@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat import conversation_digests
+from .chat import Template, conversation_digests
 from .decontaminate import contaminated
 from .htmlextract import extract_main_text
 from .jaccard import jaccard_components
@@ -15,7 +16,7 @@ from .langid import fit_language_model, identify_language
 from .mixing import allocate
 from .pii import find_personal_data, span_digest
 from .quality import fit_quality, score_quality
-from .repetition import repetition_rules
+from .repetition import RepetitionRules, repetition_rules
 from .storage import held_out
 from .urlfilter import judge_urls
 
@@ -80,4 +81,51 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_language, op3_urls, op4_html, op5_decontaminate, op6_quality, op7_mixing, op8_repetition, op9_jaccard, op10_chat)}
 
-ORACLE_SQL: dict[str, str] = {}
+
+def _repetition_sql() -> str:
+    rules = RepetitionRules()
+    sizes = sorted({*rules.ngrams, rules.repeat_window})
+    windows = "".join(f", CASE WHEN count(*) OVER f{n} = {n} THEN string_agg(word, chr(1)) OVER f{n} END AS g{n}" for n in sizes)
+    frames = ", ".join(f"f{n} AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)" for n in sizes)
+    twice = "".join(f", CASE WHEN g{n} IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g{n}) > 1 THEN 1 ELSE 0 END AS d{n}" for n in sizes)
+    hit = "".join(f", max(d{n}) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS h{n}" for n in sizes)
+    sums = "".join(f", sum(h{n} * length(word)) / greatest(sum(length(word)), 1) AS c{n}" for n in sizes)
+    bad = " OR ".join(f"coalesce(c{n}, 0) > {most}" for n, most in rules.ngrams.items())
+    return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, unnest(x) AS word, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS x FROM d)),
+g AS (SELECT *{windows} FROM w WINDOW {frames}), t AS (SELECT *{twice} FROM g), h AS (SELECT *{hit} FROM t),
+c AS (SELECT doc_id, count(*) AS n_words, sum(length(word)) AS word_chars, sum(h{rules.repeat_window}) AS n_repeat_words{sums} FROM h GROUP BY 1),
+l AS (SELECT doc_id, line, count(*) AS k, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS z FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1, 2),
+r AS (SELECT doc_id, sum(k - 1) AS n_dup_lines, sum(CASE WHEN k > 1 THEN k * z ELSE 0 END) AS repeated FROM l GROUP BY 1),
+j AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+  coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(repeated, 0) / greatest(coalesce(word_chars, 0), 1) AS lines, c.* EXCLUDE (doc_id, n_words, word_chars, n_repeat_words) FROM d LEFT JOIN c USING (doc_id) LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.repeat_percent} * n_words AS base_failed FROM j)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  base_failed, NOT base_failed AND NOT ({bad} OR lines > {rules.lines}) AS kept FROM b"""
+
+
+_JACCARD_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], chr(1)))) WHEN len(w) > 0 THEN [array_to_string(w, chr(1))] ELSE CAST([] AS VARCHAR[]) END AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM x), e AS (SELECT doc_id, unnest(s) AS s FROM x),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+k AS (SELECT a, b FROM i JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+ways AS (SELECT a, b FROM k UNION SELECT b, a FROM k),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(reach.b) AS component_id FROM n JOIN reach ON reach.a = n.doc_id GROUP BY 1, 2"""
+
+
+def _chat_sql() -> str:
+    template = Template()
+    control = "|".join(re.escape(c) for c in [*template.controls(), template.escape]).replace("'", "''")
+    frame = " ".join(f"WHEN '{role}' THEN {len(a) + len(b)}" for role, (a, b) in template.frames.items())
+    said = "</s>[INST] ok [/INST]"
+    in_order = "ORDER BY turn, role, text"
+    return rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-1, 0, 'user', '{said}'), (-1, 1, 'assistant', '{said}'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {in_order})) AS turns_sha256, CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' {in_order}) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(CASE role {frame} END + length(text) + len(regexp_extract_all(text, '{control}'))) AS BIGINT) AS formatted_chars, regexp_matches(string_agg(left(role, 1), '' {in_order}), '^s?u(au)*a?$') AS valid
+FROM c GROUP BY conv_id"""
+
+
+#: The other operators learn, draw or extract in ways that SQL doesn't express; tests hold them against plain versions.
+ORACLE_SQL: dict[str, str] = {"op8_repetition": _repetition_sql(), "op9_jaccard": _JACCARD_SQL, "op10_chat": _chat_sql()}
