@@ -3,7 +3,7 @@
 The standard library's parser gives events, from which lines are made: one for each block of text, with the tags met
 since the line before. Each line's text-to-tag ratio is smoothed by a Gaussian over its neighbours; a threshold that
 splits the ratios into two clusters marks content lines. The section that holds most of their text (an article, the
-main element, a division) is the content region, and all its lines are taken in page order.
+main element, a division) is the content region, and all its lines are taken in page order, with the title before it.
 
 What stands in navigation, page headers, footers, sidebars, forms, scripts, styles, and in elements whose class or id
 names an advert, a notice, a menu or reader comments never becomes a line.
@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 SECTIONS = frozenset("article main section div body td".split())
 DROPPED = frozenset("head script style noscript template nav footer aside form button select textarea iframe svg object dialog menu".split())
+#: Elements whose class or id decides nothing.
+NEVER_NOISE = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in a class or id that name what is not the article.
-NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense banner promo promoted sponsor sponsored popup modal cookie cookies consent notice notices alert gdpr sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments commentlist disqus reply replies respond discussion related recommended share sharing social newsletter subscribe signup login search widget toolbar pagination pager".split())
+NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense banner promo promoted sponsor sponsored popup modal cookie cookies consent notice notices alert gdpr sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments commentlist disqus reply replies respond discussion related recommended share sharing social newsletter subscribe signup login search widget toolbar pagination pager".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -41,6 +43,7 @@ class Line:
     text: str
     tags: int
     section: int
+    title: bool = False
     smoothed: float = 0.0
 
 
@@ -69,7 +72,7 @@ class LineMaker(HTMLParser):
             return True
         for name, value in attrs:
             if value and name in ("class", "id"):
-                if tag not in ("html", "body", "article", "main") and not NOISE_WORDS.isdisjoint(w.lower() for w in _WORD.findall(value)):
+                if tag not in NEVER_NOISE and not NOISE_WORDS.isdisjoint(w.lower() for w in _WORD.findall(value)):
                     return True
             elif name == "role" and value and value.lower() in NOISE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
@@ -78,7 +81,7 @@ class LineMaker(HTMLParser):
     def flush_line(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.lines.append(Line(text, self.tags, self.stack[-1].section))
+            self.lines.append(Line(text, self.tags, self.stack[-1].section, any(x.tag == "h1" for x in self.stack)))
             self.tags = 0
         self.parts = []
 
@@ -197,7 +200,12 @@ def extract(html: str | None, how: TagRatio | None = None) -> str:
     root = at or root
     if maker.kinds[root] in ("td", "div", "section") and weight[root] < 0.5 * sum(weight.values()):
         root = maker.parents[root]
-    return "\n\n".join(x.text for x in lines if maker.within(x.section, root))
+    chosen = [i for i, x in enumerate(lines) if maker.within(x.section, root)]
+    # a title may stand before the section of its text
+    titles = [i for i, x in enumerate(lines) if x.title and i < chosen[0]]
+    if titles and not any(lines[i].title for i in chosen):
+        chosen.insert(0, titles[-1])
+    return "\n\n".join(lines[i].text for i in chosen)
 
 
 def extract_main_text(pages: DataFrame, how: TagRatio | None = None, *, id_column: str = "page_id", html_column: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -162,6 +162,7 @@ def test_distrust_goes_against_links(spark):
         ("<nav>menu</nav><article><h1>T &amp;\n t</h1><p>One <b>two</b><br>three<p>four</article><footer>f</footer>", "T & t\n\nOne two three\n\nfour"),
         ("<div class='sidebar'>side</div><div id=content><p>Long text of the main part here.</p><p>More of the same text.</p></div><div class='comments'><p>Nice one, a long comment it is.</p></div>", "Long text of the main part here.\n\nMore of the same text."),
         ("<article><p>abc &eacute;&#8364; d</p><form>x<input>y</form><script>var a='</p>';</script><style>p{}</style><p>end</p></art", "abc é€ d\n\nend"),
+        ("<div><h1 class=header>Title</h1><div class='post'><p>Some long text stands here.</p><p>And more of it.</p></div></div><div class='related-posts'>Other</div>", "Title\n\nSome long text stands here.\n\nAnd more of it."),
         ("<header>site</header><main><header><h1>Head</h1></header><p>body text</p></main>", "Head\n\nbody text"),
     ],
 )
