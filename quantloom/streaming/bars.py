@@ -11,7 +11,7 @@ def bars(events: DataFrame, *, time: str = "ts", symbol: str = "user_id", price:
 
     Works on static and streaming frames. State is one row for each open window and symbol.
     """
-    own = events.select(F.col(time).alias("t"), F.col(symbol).cast("string").alias("symbol"), F.col(price).alias("p"))
+    own = events.select(F.col(time).cast("timestamp").alias("t"), F.col(symbol).cast("string").alias("symbol"), F.col(price).alias("p"))
     if own.isStreaming:
         own = own.withWatermark("t", late)
     out = own.groupBy(F.window("t", window).alias("w"), "symbol").agg(
