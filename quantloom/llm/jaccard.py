@@ -163,9 +163,9 @@ def _least_shared(n, m, rest, rest2, percent: int):
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(fp, n, shingles, ...) of the texts that stand for the wanted nodes (rep, fp, n, and further columns)."""
+    """``wanted`` (rep, fp, n, and further columns) with the shingles of the text that stands for each node."""
     more = [c for c in wanted.columns if c not in ("rep", "fp", "n")]
-    joined = docs.join(bounded(wanted), docs["id"] == wanted["rep"]).select("text", "fp", "n", *more)
+    joined = docs.join(bounded(wanted), docs["id"] == wanted["rep"]).select("text", "fp", "n", "rep", *more)
     rest = joined.columns[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +195,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, how: JaccardJ
     left = _sets_of(docs, named, how.words)
     right = _sets_of(docs, named.select(F.col("rep2").alias("rep"), F.col("fp2").alias("fp"), F.col("n2").alias("n")).distinct(), how.words)
     right = right.select(F.col("fp").alias("fp2"), F.col("n").alias("n2"), F.col("shingles").alias("other"))
-    both = left.join(nodes, ["fp", "n"]).join(right, ["fp2", "n2"]).withColumn("common", F.size(F.array_intersect("shingles", "other")))
+    both = left.join(right, ["fp2", "n2"]).withColumn("common", F.size(F.array_intersect("shingles", "other")))
     return both.where(100 * F.col("common") >= how.percent * (F.col("n") + F.col("n2") - F.col("common"))).select(F.col("rep").alias("u"), F.col("rep2").alias("v"))
 
 
