@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,12 +14,18 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder is set only where it is unset (local tests)."""
+    """The session's ``spark.checkpoint.dir``; a temporary folder, removed at exit, stands in only where it is unset (local runs)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="quantloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="quantloom-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+        path = _own[app]
     return path.rstrip("/")
 
 
