@@ -89,7 +89,9 @@ def _profile(docs: DataFrame, how: JaccardJoin) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(len(n), np.int8)), batch.column(0), pa.array(np.array(n, np.int64)), pa.array(np.array(fp, np.int64))], ["kind", "id", "n", "fp"]
             )
-            every = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
+            every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            sets.clear()
+            every.sort()
             edge = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1], [True]])) if len(every) else np.zeros(1, np.int64)
             times = np.diff(edge)
             often = times > 1

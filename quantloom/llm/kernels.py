@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer text is handled alone.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 400_000
 
 _R = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
