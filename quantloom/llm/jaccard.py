@@ -14,7 +14,8 @@ Copies never meet pairwise:
 2. Every shingle's list of nodes is tied to the one whose shingles are the best known in the corpus (a star), the best
    tie of each node is verified, and the verified ties give first groups. A list within one group is done.
 3. In the other lists all pairs between different groups are counted, but only by joining the nodes outside of a list's
-   largest group with the list. Pairs with enough shared shingles are verified on the whole sets.
+   largest group with the list, and only on shingles that can be the first of those that both prefixes share. Pairs
+   whose prefixes share enough are verified on the whole sets.
 
 Every link between different groups is so found, which makes the components those of the full link graph.
 """
@@ -104,9 +105,9 @@ def _profile(docs: DataFrame, how: JaccardJoin) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, how: JaccardJoin, tokens: np.ndarray, times: np.ndarray) -> DataFrame:
-    """(token, salt, fp, n, rest, known): each node's prefix, once for each task that meets the node.
+    """(token, pos, salt, fp, n, rest, known): each node's prefix, once for each task that meets the node.
 
-    salt: part of a long list, -1 for a list in one part. rest: shingles beyond the prefix. known: thousandths of the set's shingles that are frequent ones.
+    pos: place of the shingle in the prefix.     salt: part of a long list, -1 for a list in one part. rest: shingles beyond the prefix. known: thousandths of the set's shingles that are frequent ones.
     """
     shared = docs.sparkSession.sparkContext.broadcast((tokens, times))
 
@@ -148,14 +149,14 @@ def _prefixes(docs: DataFrame, how: JaccardJoin, tokens: np.ndarray, times: np.n
                     each = lambda values, kind: pa.array(np.repeat(np.array(values, kind), sizes))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(signed(np.concatenate([p[0] for p in parts]))), pa.array(np.concatenate([p[1] for p in parts]).astype(np.int32)),
+                            pa.array(signed(np.concatenate([p[0] for p in parts]))), pa.array(np.concatenate([np.arange(size) for size in sizes]).astype(np.int32)), pa.array(np.concatenate([p[1] for p in parts]).astype(np.int32)),
                             each([p[2][0] for p in parts], np.int64), each([p[2][1] for p in parts], np.int32),
                             each([p[2][1] - size for p, size in zip(parts, sizes, strict=True)], np.int32), each([p[3] for p in parts], np.int16),
                         ],
-                        ["token", "salt", "fp", "n", "rest", "known"],
+                        ["token", "pos", "salt", "fp", "n", "rest", "known"],
                     )
 
-    return docs.select("id", "text").mapInArrow(run, "token long, salt int, fp long, n int, rest int, known smallint")
+    return docs.select("id", "text").mapInArrow(run, "token long, pos int, salt int, fp long, n int, rest int, known smallint")
 
 
 def _least_shared(n, m, rest, rest2, percent: int):
@@ -221,7 +222,7 @@ def jaccard_components(docs: DataFrame, how: JaccardJoin | None = None, *, id_co
     dealt = _prefixes(docs, how, tokens[order], often["times"].to_numpy(np.int64)[order]).repartition("token", "salt").dropDuplicates(["token", "salt", "fp", "n"])
     part = Window.partitionBy("token", "salt")
     lists = dealt.withColumn("pivot", F.max(F.struct("known", "n", "fp", "rest")).over(part)).withColumn("size", F.count("*").over(part))
-    lists = materialise(lists.where("size > 1 or salt >= 0").select("token", "fp", "n", "rest", F.col("pivot.fp").alias("fp2"), F.col("pivot.n").alias("n2"), F.col("pivot.rest").alias("rest2")), "lists")
+    lists = materialise(lists.where("size > 1 or salt >= 0").select("token", "pos", "fp", "n", "rest", F.col("pivot.fp").alias("fp2"), F.col("pivot.n").alias("n2"), F.col("pivot.rest").alias("rest2")), "lists")
 
     def near(n, m):
         return 100 * F.least(n, m) >= how.percent * F.greatest(n, m)
@@ -234,7 +235,7 @@ def jaccard_components(docs: DataFrame, how: JaccardJoin | None = None, *, id_co
     groups = materialise(connected_components(first), "groups")
     # k: lists that a node stands in, the most that it can share with another
     placed = lists.groupBy("fp", "n").agg(F.count("*").cast("int").alias("k")).join(nodes, ["fp", "n"]).join(groups.withColumnRenamed("vertex", "rep"), "rep", "left").select("fp", "n", "k", F.coalesce("component", "rep").alias("group"))
-    placed = lists.select("token", "fp", "n", "rest").join(placed, ["fp", "n"])
+    placed = lists.select("token", "pos", "fp", "n", "rest").join(placed, ["fp", "n"])
     shares = placed.groupBy("token", "group").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "group")).alias("m"), F.count("*").alias("g")).where("g > 1")
     open_lists = materialise(placed.join(shares.select("token", F.col("m.group").alias("main")), "token"), "open")
     a, b = open_lists.where("group <> main").alias("a"), open_lists.alias("b")
@@ -242,12 +243,18 @@ def jaccard_components(docs: DataFrame, how: JaccardJoin | None = None, *, id_co
     met = a.join(
         b,
         (F.col("a.token") == F.col("b.token")) & (F.col("a.group") != F.col("b.group")) & near(F.col("a.n"), F.col("b.n")) & (F.least("a.k", "b.k") >= least)
+        # the first shingle that two similar sets share has the others behind it in both prefixes
+        & (F.col("a.pos") <= F.col("a.n") - F.col("a.rest") - least) & (F.col("b.pos") <= F.col("b.n") - F.col("b.rest") - least)
         & ((F.col("b.group") == F.col("b.main")) | (F.struct("a.group", "a.n", "a.fp") < F.struct("b.group", "b.n", "b.fp"))),
     )
     # a pair may be met from either side in different lists
     low, high = F.least(F.struct("a.fp", "a.n"), F.struct("b.fp", "b.n")), F.greatest(F.struct("a.fp", "a.n"), F.struct("b.fp", "b.n"))
-    pairs = met.select(low.alias("x"), high.alias("y"), least.alias("least")).groupBy("x", "y").agg(F.count("*").alias("shared"), F.first("least").alias("least")).where("shared >= least")
-    second = _verified(docs, pairs.select("x.fp", "x.n", F.col("y.fp").alias("fp2"), F.col("y.n").alias("n2")), nodes, how)
+    pairs = met.select(low.alias("x"), high.alias("y"), least.alias("least")).distinct().select("x.fp", "x.n", F.col("y.fp").alias("fp2"), F.col("y.n").alias("n2"), "least")
+    # count what the whole prefixes share before whole sets are met
+    prefixes = lists.groupBy("fp", "n").agg(F.collect_list("token").alias("t"))
+    pairs = pairs.join(prefixes, ["fp", "n"]).join(prefixes.select(F.col("fp").alias("fp2"), F.col("n").alias("n2"), F.col("t").alias("t2")), ["fp2", "n2"])
+    pairs = pairs.where(F.size(F.array_intersect("t", "t2")) >= F.col("least"))
+    second = _verified(docs, pairs.select("fp", "n", "fp2", "n2"), nodes, how)
 
     # texts under one id are one document
     with_rep = rows.join(nodes, ["fp", "n"], "left")
