@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import Texts, chunks
+from .storage import map_arrow
 
 
 @dataclass(frozen=True)
@@ -161,7 +162,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, how: Tiling | None = Non
                     )
 
         shared_type = _arrow_type(benchmark, item_column)
-        return docs.mapInArrow(run, f"id {kinds[0]}, item_id {kinds[1]}, coverage double")
+        return map_arrow(docs, run, f"id {kinds[0]}, item_id {kinds[1]}, coverage double")
 
     return reduce(DataFrame.union, [over(p) for p in _blocks(benchmark, how, item_column, "text")]).withColumnRenamed("id", id_column)
 
@@ -186,5 +187,5 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, how: Tiling | No
                     keep[[*_matches(texts, shared.value, how)]] = False
                     yield batch.slice(rows.start, rows.stop - rows.start).filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = map_arrow(docs, run, schema)
     return docs

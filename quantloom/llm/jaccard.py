@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .kernels import Texts, chunks, mix, signed
-from .storage import bounded, materialise
+from .storage import bounded, map_arrow, materialise
 
 
 @dataclass(frozen=True)
@@ -43,6 +43,8 @@ class JaccardJoin:
     longer_by: tuple[int, ...] = (0, 1, 3, 7)
     #: How many shingles' frequencies steer the order; the others count as rare.
     frequent_shingles: int = 200_000
+    #: Shingles of a run of texts in which repeated ones are counted at once.
+    counted_shingles: int = 2_000_000
     #: Nodes of one frequent shingle that one task should meet at most, by estimate, in the first tie.
     list_rows: int = 20_000
     #: Cost of verifying a candidate, in list entries read.
@@ -76,32 +78,42 @@ def _least_overlap(n: int, percent: int) -> int:
 
 
 def _profile(docs: DataFrame, how: JaccardJoin) -> DataFrame:
-    """Rows of kind 0: id, n, fp of each text. Kind 1: shingles seen in several texts of a batch, with how many."""
+    """Rows of kind 0: id, n, fp of each text. Kind 1: shingles seen in several texts of a run of texts, with how many."""
     kind = docs.schema["id"].dataType.simpleString()
 
+    def repeated(sets: list[np.ndarray], ids: pa.DataType) -> pa.RecordBatch:
+        every = np.concatenate(sets)
+        sets.clear()
+        every.sort()
+        same = every[1:] == every[:-1]
+        edge = np.concatenate([[False], same]) != np.concatenate([same, [False]])
+        # runs of one shingle begin and end in turn
+        bounds = np.flatnonzero(edge)
+        tokens, times = every[bounds[::2]], bounds[1::2] - bounds[::2] + 1
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.ones(len(tokens), np.int8)), pa.nulls(len(tokens), ids), pa.array(times.astype(np.int64)), pa.array(signed(tokens))], ["kind", "id", "n", "fp"]
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, held, ids = [], 0, None
         for batch in batches:
-            sets, n, fp = [], [], []
+            n, fp, ids = [], [], batch.schema.field(0).type
             for _, texts in chunks(batch.column(1)):
                 for s in shingle_sets(texts, how.words):
                     n.append(len(s))
                     fp.append(fingerprint(s))
                     sets.append(s)
+                    held += len(s)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(len(n), np.int8)), batch.column(0), pa.array(np.array(n, np.int64)), pa.array(np.array(fp, np.int64))], ["kind", "id", "n", "fp"]
             )
-            every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            sets.clear()
-            every.sort()
-            edge = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1], [True]])) if len(every) else np.zeros(1, np.int64)
-            times = np.diff(edge)
-            often = times > 1
-            tokens, times = every[edge[:-1][often]], times[often]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(len(tokens), np.int8)), pa.nulls(len(tokens), batch.schema.field(0).type), pa.array(times.astype(np.int64)), pa.array(signed(tokens))], ["kind", "id", "n", "fp"]
-            )
+            if held >= how.counted_shingles:
+                yield repeated(sets, ids)
+                held = 0
+        if held:
+            yield repeated(sets, ids)
 
-    return docs.mapInArrow(run, f"kind tinyint, id {kind}, n long, fp long")
+    return map_arrow(docs, run, f"kind tinyint, id {kind}, n long, fp long")
 
 
 def _prefixes(docs: DataFrame, how: JaccardJoin, tokens: np.ndarray, times: np.ndarray) -> DataFrame:
@@ -156,7 +168,7 @@ def _prefixes(docs: DataFrame, how: JaccardJoin, tokens: np.ndarray, times: np.n
                         ["token", "pos", "salt", "fp", "n", "rest", "known"],
                     )
 
-    return docs.select("id", "text").mapInArrow(run, "token long, pos int, salt int, fp long, n int, rest int, known smallint")
+    return map_arrow(docs.select("id", "text"), run, "token long, pos int, salt int, fp long, n int, rest int, known smallint")
 
 
 def _least_shared(n, m, rest, rest2, percent: int):
@@ -188,7 +200,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 yield out.filter(pa.array(right, pa.bool_()))
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema if f.name != "text")
-    return joined.mapInArrow(run, f"{fields}, shingles array<long>")
+    return map_arrow(joined, run, f"{fields}, shingles array<long>")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, how: JaccardJoin) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import Texts, chunks, code_points, mix
-from .storage import bounded
+from .storage import bounded, map_arrow
 
 STATISTICS = ("n_words", "word_length", "distinct_words", "repeated_next", "upper", "digits", "symbols", "pipes", "exclamations", "stops", "line_words", "distinct_lines")
 PREFIX = "_stat_"
@@ -94,7 +94,7 @@ def with_statistics(docs: DataFrame, text_column: str = "text", keep: list[str]
                 yield pa.RecordBatch.from_arrays([*(part.column(names.index(c)) for c in out), *(pa.array(v) for v in values.T)], [*out, *(PREFIX + s for s in STATISTICS)])
 
     fields = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in out), *(f"{PREFIX}{s} double" for s in STATISTICS)])
-    return docs.mapInArrow(run, fields)
+    return map_arrow(docs, run, fields)
 
 
 Rule = tuple[tuple[int, bool, float], ...]

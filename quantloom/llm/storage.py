@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +48,24 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def held_out(doc_id: str = "doc_id"):
     """crc32(doc_id as text) mod 5 = 0; true for a null id, which is never learned from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
+
+
+#: Bytes of one Arrow batch between the JVM and a Python worker; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow`` with batches of bounded bytes, as texts can be long; an idle worker gives Arrow's memory back.
+
+    The bound is the session's ``spark.sql.execution.arrow.maxBytesPerBatch``, which is lowered where it is larger.
+    """
+    key, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+    number, unit = re.fullmatch(r"(\d+)([kmgtp]?)b?", spark.conf.get(key).lower()).groups()
+    if int(number) << 10 * " kmgtp".index(unit or " ") > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+    def bounded_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(bounded_run, schema)
