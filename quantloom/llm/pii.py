@@ -1,13 +1,21 @@
 """Personal data: spans of known forms, and terms that reveal them.
 
 Emails, IP addresses, card and phone numbers are found by patterns and checks; they are the protected entities. Over
-the whole corpus it is counted how often each term stands near each entity, in how many texts each of them occurs, and
-so how much of an entity's information content a term discloses:
+the distinct texts of the corpus it is counted in how many each term stands, in how many of these with an entity, and
+so how much of the entity's information content the term discloses:
 
-    disclosure(t, e) = PMI(t, e) / IC(e) = log(p(t, e) / (p(t) p(e))) / -log p(e)
+    disclosure(t, e) = PMI(t, e) / IC(e) = log(p(e | t) / p(e)) / -log p(e)
 
-A term that discloses ``threshold`` of some entity or more, seen in ``min_contexts`` different contexts at least, is a
-span wherever it occurs, and is generalised or removed with the others.
+p(e | t) is drawn towards p(e) by ``prior`` texts, so that few texts are weak evidence of a common entity. Terms are
+held against two kinds of entities:
+
+* each value, with the terms up to ``window`` words from it; a value that occurs once is enough;
+* over whole texts, each value of ``min_contexts`` texts at least, and the rarer values of one kind pooled as one
+  entity. Here a term counts that stands between different words ``min_contexts`` times at least in such texts, so that
+  near copies of one text flag nothing.
+
+A term that discloses ``threshold`` of some entity or more is a span wherever it occurs, and is generalised or removed
+with the others.
 
 Only DataFrame functions are used. Null text is empty. Repeated rows get equal results; other columns are not read.
 """
@@ -46,9 +54,12 @@ _BLOCK = 256
 @dataclass(frozen=True)
 class Disclosure:
     threshold: float = 0.9
+    #: Different contexts (two words on either side) of a term in texts with an entity, over whole texts; values of fewer texts are pooled.
     min_contexts: int = 3
-    #: Words on either side of an entity that count as near it.
-    window: int = 3
+    #: Words on either side of a value that count as near it.
+    window: int = 10
+    #: Texts that p(e | t) is drawn towards p(e) by.
+    prior: float = 0.5
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -108,43 +119,64 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def _terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w.rlike(r"\p{L}"))
+    """The words with a letter outside of emails."""
+    return F.filter(F.split(F.lower(F.regexp_replace(text, PATTERNS["email"], " ")), r"[^\p{L}\p{N}]+"), lambda w: w.rlike(r"\p{L}"))
 
 
 def _written(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
 
-def _disclosure(n_term: str, n: int) -> Column:
+def _disclosure(n_term: str, n: int, prior: float) -> Column:
     """PMI over information content, from the counts of n texts."""
-    return 1 - F.log(F.least(F.col("n_both") / F.col(n_term), F.lit(1.0))) / F.log(F.col("n_entity") / F.lit(float(n)))
+    p = F.col("n_entity") / F.lit(float(n))
+    return 1 - F.log((F.least("n_both", n_term) + prior * p) / (F.col(n_term) + prior)) / F.log(p)
 
 
 def revealing_terms(docs: DataFrame, how: Disclosure, text_column: str) -> tuple[DataFrame, DataFrame] | None:
     """(term, disclosure) of the terms over the threshold, and (key, term) of the texts that hold them; None if there are none."""
-    texts = docs.select(F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    n = texts.count()
-    entities = texts.where(F.col("text").rlike("[0-9]|@")).select(F.concat(*base_spans(F.col("text")).values()).alias("s")).where("size(s) > 0")
+    texts = docs.select(F.coalesce(F.col(text_column), F.lit("")).alias("text")).withColumn("key", F.md5(F.col("text").cast("binary")))
+    n = texts.select("key").distinct().count()
+    # the last words before a value and the first ones after it
     near = F.transform("s", lambda s: F.struct(
-        F.concat_ws(":", s["kind"], s["value"]).alias("entity"),
-        # the last words before it and the first ones after it
+        s["kind"].alias("kind"), F.concat_ws(":", s["kind"], s["value"]).alias("value"),
         F.concat(_let(_terms(s["before"]), lambda w: F.slice(w, F.greatest(F.size(w) - how.window + 1, F.lit(1)), F.lit(how.window))), F.slice(_terms(s["after"]), F.lit(1), F.lit(how.window))).alias("words"),
     ))
-    seen = entities.select(F.explode(near).alias("x")).select("x.entity", F.xxhash64("x.words").alias("context"), F.explode(F.array_distinct("x.words")).alias("term"))
-    joint = seen.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("contexts"))
-    held = entities.select(F.explode(F.array_distinct(F.transform("s", lambda s: F.concat_ws(":", s["kind"], s["value"])))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    # a term occurs in as many texts at least as it stands near any entity in, which bounds what it can disclose
-    anywhere = entities.select(F.explode(F.array_distinct(F.flatten(F.transform(near, lambda x: x["words"])))).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
-    candidates = joint.where(F.col("contexts") >= how.min_contexts).join(held, "entity").join(anywhere, "term").where(F.col("n_entity") < n)
-    candidates = materialise(candidates.where(_disclosure("n_near", n) >= how.threshold).drop("n_near"), "candidates")
+    held = texts.where(F.col("text").rlike("[0-9]|@")).withColumn("s", F.concat(*base_spans(F.col("text")).values())).where("size(s) > 0")
+    held = materialise(held.select("key", near.alias("near"), _terms(F.col("text")).alias("words")), "entities")
+    spots = held.select("key", F.explode("near").alias("x"))
+
+    values = spots.select("key", "x.kind", "x.value").distinct()
+    counts = values.groupBy("value").agg(F.count("*").alias("n_entity"))
+    named = materialise(values.join(counts, "value").select("key", "value", "n_entity", F.when(F.col("n_entity") < how.min_contexts, F.col("kind")).otherwise(F.col("value")).alias("entity")), "values")
+    beside = spots.select("key", "x.value", F.explode("x.words").alias("term")).distinct().groupBy("value", "term").agg(F.count("*").alias("n_both"))
+    beside = beside.join(counts, "value").select("term", "n_both", "n_entity")
+
+    # over whole texts; a term's context is hashed, so that no two rows of one text and context meet
+    def context(w: Column, i: Column) -> Column:
+        return F.struct(w.alias("term"), F.xxhash64(*(F.coalesce(F.get("words", i + d), F.lit("")) for d in (-2, -1, 1, 2))).alias("context"))
+
+    used = held.select("key", F.explode(F.array_distinct(F.transform("words", context))).alias("x")).select("key", "x.term", "x.context").distinct()
+    used = materialise(used, "used")
+    # a term occurs in as many texts at least as with any entity in, which bounds what it can disclose
+    anywhere = used.select("key", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    pools = named.select("key", "entity").distinct()
+    pool_counts = pools.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    # only what stands in enough texts and contexts of all entities is counted for each of them
+    often = used.select("term", "context").distinct().groupBy("term").agg(F.count("*").alias("c")).where(F.col("c") >= how.min_contexts).select("term")
+    whole = used.join(often, "term").join(pools, "key").groupBy("entity", "term").agg(F.countDistinct("key").alias("n_both"), F.countDistinct("context").alias("contexts"))
+    whole = whole.where(F.col("contexts") >= how.min_contexts).join(pool_counts, "entity").select("term", "n_both", "n_entity")
+
+    candidates = beside.union(whole).where(F.col("n_entity") < n).join(anywhere, "term")
+    candidates = materialise(candidates.where(_disclosure("n_near", n, how.prior) >= how.threshold).drop("n_near").distinct(), "candidates")
     if candidates.isEmpty():
         return None
-    words = texts.select(F.md5(F.col("text").cast("binary")).alias("key"), F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-    mentions = materialise(words.join(bounded(candidates.select("term").distinct()), "term"), "mentions")
+    words = texts.select("key", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
+    mentions = materialise(words.join(bounded(candidates.select("term").distinct()), "term").select("key", "term").distinct(), "mentions")
     known = candidates.join(mentions.groupBy("term").agg(F.count("*").alias("n_term")), "term")
-    known = known.withColumn("disclosure", _disclosure("n_term", n))
+    known = known.withColumn("disclosure", _disclosure("n_term", n, how.prior))
     flagged = materialise(known.where(F.col("disclosure") >= how.threshold).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "terms")
-    return None if flagged.isEmpty() else (flagged, mentions.join(bounded(flagged.select("term")), "term").distinct())
+    return None if flagged.isEmpty() else (flagged, mentions.join(bounded(flagged.select("term")), "term"))
 
 
 def find_personal_data(docs: DataFrame, how: Disclosure | None = None, *, text_column: str = "text") -> DataFrame:

@@ -83,6 +83,19 @@ def test_revealing_terms_are_found_and_removed(spark):
     assert "[EMAIL]" in clean[0] and "ann@" not in clean[0] and "Zorblatt" not in clean[0]
 
 
+def test_terms_of_rare_entities(spark):
+    rng = random.Random(4)
+    # each email occurs once: one name stands far from several of them, another beside its only one, a third in copies of one text
+    texts = [f"{words(rng, 30)} Zorblatt {words(rng, 30)} u{i}@h{i}.example {words(rng, 9)}" for i in range(6)]
+    texts += [f"{words(rng, 9)} Quibbly solo@only.example {words(rng, 9)}"]
+    texts += [f"Farspoken {words(rng, 40)} copy@only.example"] * 5
+    texts += [words(rng, 40) for _ in range(300)] + ["today Zorblatt came alone"]
+    terms = pii.revealing_terms(frame(spark, texts), pii.Disclosure(), "text")[0]
+    assert {r.term for r in terms.collect()} == {"zorblatt", "quibbly"}
+    found = {r.doc_id: [s.value for s in r.pii_term] for r in pii.find_personal_data(frame(spark, texts)).collect()}
+    assert {i for i, v in found.items() if v == ["Zorblatt"]} == {*range(6), len(texts) - 1} and found[6] == ["Quibbly"]
+
+
 def test_redaction_of_overlapping_spans(spark):
     texts = ["x +49 10.0.0.1 55 y", None, "n"]
     out = [r.text for r in pii.redact(pii.find_personal_data(frame(spark, texts))).orderBy("doc_id").collect()]
