@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import connected_components
 from .kernels import Texts, chunks, mix, signed
@@ -278,7 +279,45 @@ def jaccard_components(docs: DataFrame, how: JaccardJoin | None = None, *, id_co
     return out.select(F.col("id").alias(id_column), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("n") == 0, F.col("id"))).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, components: DataFrame, *, id_column: str = "doc_id") -> DataFrame:
-    """``docs`` without the documents whose component has a smaller id; of rows with one id and text one stays."""
+def _with_set(docs: DataFrame, text_column: str, k: int) -> DataFrame:
+    """``docs`` with the hash and size of each text's set."""
+    at = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, texts in chunks(batch.column(at)):
+                sets = [*shingle_sets(texts, k)]
+                own = [pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*(c[rows] for c in batch.columns), *own], [*batch.schema.names, "_fp", "_n"])
+
+    return map_arrow(docs, run, StructType([*docs.schema.fields, StructField("_fp", LongType()), StructField("_n", LongType())]))
+
+
+def _first_row(rows: DataFrame, keys: list[str], columns: list[str], text_column: str) -> DataFrame:
+    """One row of each key, combined before the shuffle; a text with words comes before one without."""
+    order = F.struct(~F.coalesce(F.col(text_column).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)), F.xxhash64(text_column), F.xxhash64(*columns))
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*columns), order).alias("row")).select("row.*")
+
+
+def one_of_each(docs: DataFrame, components: DataFrame, how: JaccardJoin | None = None, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of each component: of the smallest id, and of its rows one with shingles, the first by hash.
+
+    Rows with a null id go if a row with an id has an equal set, else one of each set stays; word-less ones, which are
+    linked with nothing, stay.
+    """
+    how = how or JaccardJoin()
+    named, unnamed = docs.where(F.col(id_column).isNotNull()), docs.where(F.col(id_column).isNull())
     gone = components.where(F.col("component_id") != F.col(id_column)).select(F.col(id_column)).distinct()
-    return docs.join(bounded(gone), id_column, "left_anti")
+    named = named.join(bounded(gone), id_column, "left_anti").select(docs.columns)
+    twice = materialise(components.where(F.col("component_id") == F.col(id_column)).groupBy(id_column).count().where("count > 1").select(id_column), "twice")
+    out = named
+    if not twice.isEmpty():
+        again = named.join(bounded(twice), id_column, "left_semi").select(docs.columns)
+        out = named.join(bounded(twice), id_column, "left_anti").select(docs.columns).unionByName(_first_row(again, [id_column], docs.columns, text_column))
+    if unnamed.isEmpty():
+        return out
+    hashed = materialise(_with_set(unnamed, text_column, how.words), "unnamed")
+    wanted = bounded(hashed.where("_n > 0").select("_fp", "_n").distinct())
+    known = materialise(_with_set(docs.where(F.col(id_column).isNotNull()).select(text_column), text_column, how.words).select("_fp", "_n").join(wanted, ["_fp", "_n"], "left_semi").distinct(), "known")
+    new = hashed.where("_n > 0").join(bounded(known), ["_fp", "_n"], "left_anti")
+    return out.unionByName(_first_row(new, ["_fp", "_n"], docs.columns, text_column)).unionByName(hashed.where("_n = 0").select(docs.columns))

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Tables up to this many rows may be broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -54,7 +55,7 @@ def held_out(doc_id: str = "doc_id"):
 BATCH_BYTES = 4 << 20
 
 
-def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``df.mapInArrow`` with batches of bounded bytes, as texts can be long; an idle worker gives Arrow's memory back.
 
     The bound is the session's ``spark.sql.execution.arrow.maxBytesPerBatch``, which is lowered where it is larger.

@@ -362,6 +362,15 @@ def test_one_of_each_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3] and {*kept.columns} == {*docs.columns}
 
 
+def test_one_of_repeated_rows_stays(spark):
+    text, other, third = "one two three four five six seven", "other words stand in this row here", "a third text that no id has"
+    rows = [(3, text)] * 4 + [(7, text), (None, text), (9, other), (9, other), (9, ""), (None, third), (None, third.upper()), (4, None), (4, None), (None, "")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, place int")
+    kept = jaccard.one_of_each(docs, jaccard.jaccard_components(docs))
+    out = sorted(((r.doc_id, (r.text or "").lower()) for r in kept.collect()), key=str)
+    assert out == sorted([(3, text), (9, other), (None, third), (4, ""), (None, "")], key=str) and kept.columns == docs.columns
+
+
 def test_connected_components(spark):
     rng = random.Random(10)
     edges = [(i, i + 1) for i in range(60, 90)] + [(rng.randrange(50), rng.randrange(50)) for _ in range(30)] + [(100, x) for x in range(200, 240)] + [(None, 1), (5, 5)]
