@@ -92,7 +92,8 @@ class FactorSet:
         if not self.accepted:
             return []
         named = {f"_a{i}": r["code"] for i, r in enumerate(self.accepted)}
-        own = evaluate(self.panel.where(F.col(SYMBOL) == self.symbol), {"_new": record["code"]} | named)
+        # over all symbols, as ranks and scales across them need the whole panel
+        own = evaluate(self.panel, {"_new": record["code"]} | named).where(F.col(SYMBOL) == self.symbol)
         row = own.agg(*(core.corr_of(F.col("_new"), F.col(c)).alias(c) for c in named)).first()
         near = [(r["name"], row[c]) for c, r in zip(named, self.accepted, strict=True) if row[c] is not None and row[c] > self.thresholds.similar]
         return sorted(near, key=lambda x: -x[1])

@@ -117,3 +117,10 @@ def test_catalog(spark, tmp_path):
         catalog.build(spark, config, columns)
     with pytest.raises(ValueError, match="manifest"):
         catalog.build(spark, {"feature_columns": ["fund_a"]}, columns)
+
+
+def test_similar_factors_across_symbols(spark):
+    panel = _panel(spark)
+    factors = debate.FactorSet(panel, P.labels(panel, "close", 1), scoring.Samples(("2024-01-01", "2024-03-31"), ("2024-04-01", "2024-05-29")))
+    factors.accepted.append({"name": "one", "code": "rank(delta(close, 1))"})
+    assert [n for n, _ in factors.similar_to({"code": "rank(delta(close, 1)) * 2"})] == ["one"]
