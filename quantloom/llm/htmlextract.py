@@ -2,8 +2,9 @@
 
 The standard library's parser gives events, from which lines are made: one for each block of text, with the tags met
 since the line before. Each line's text-to-tag ratio is smoothed by a Gaussian over its neighbours; a threshold that
-splits the ratios into two clusters marks content lines. The section that holds most of their text (an article, the
-main element, a division) is the content region, and all its lines are taken in page order, with the title before it.
+splits the ratios into two clusters marks content lines. The smallest section that holds all of them, widened to the
+article or main element around it, is the content region, and all its lines are taken in page order, with the title
+before it.
 
 What stands in navigation, page headers, footers, sidebars, forms, scripts, styles, and in elements whose class or id
 names an advert, a notice, a menu or reader comments never becomes a line.
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 SECTIONS = frozenset("article main section div body td".split())
 DROPPED = frozenset("head script style noscript template nav footer aside form button select textarea iframe svg object dialog menu".split())
+#: What can stand in a head.
+HEAD = frozenset("base link meta title style script noscript template".split())
 #: Elements whose class or id decides nothing.
 NEVER_NOISE = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -91,6 +94,8 @@ class LineMaker(HTMLParser):
             self.flush_line()
         elif tag == "br":
             self.parts.append(" ")
+        if tag not in HEAD:
+            self._end_head(tag)
         if tag in VOID:
             return
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
@@ -103,6 +108,15 @@ class LineMaker(HTMLParser):
             self.parents[section], self.kinds[section] = above.section, tag
         self.stack.append(_Open(tag, section, above.noise or self._noise(tag, attrs)))
 
+    def _end_head(self, tag: str) -> None:
+        """What can't stand in a head ends one without its end tag; the body does so from within any element."""
+        for i in range(len(self.stack) - 1, 0, -1):
+            if self.stack[i].tag == "head":
+                del self.stack[i:]
+                return
+            if tag != "body":
+                return
+
     def _end_open(self, tag: str) -> None:
         """A new paragraph or item ends one that is still open in the same block."""
         for i in range(len(self.stack) - 1, 0, -1):
@@ -159,18 +173,18 @@ def smooth(ratios: list[float], how: TagRatio) -> list[float]:
 
 
 def two_means(values: list[float]) -> float:
-    """The threshold midway between two cluster means; the least value if there is one cluster only."""
-    low, high = min(values), max(values)
+    """The threshold midway between two cluster means; the least value if they are within a factor of two, as one cluster."""
+    least = low, high = min(values), max(values)
     for _ in range(30):
         cut = (low + high) / 2
         below, above = [v for v in values if v < cut], [v for v in values if v >= cut]
         if not below:
-            return low
+            return least[0]
         now = sum(below) / len(below), sum(above) / len(above)
         if now == (low, high):
             break
         low, high = now
-    return (low + high) / 2
+    return (low + high) / 2 if high > 2 * low else least[0]
 
 
 def extract(html: str | None, how: TagRatio | None = None) -> str:
@@ -188,18 +202,15 @@ def extract(html: str | None, how: TagRatio | None = None) -> str:
     for line, ratio in zip(lines, smooth([len(x.text) / max(x.tags, 1) for x in lines], how), strict=True):
         line.smoothed = ratio
     threshold = two_means([x.smoothed for x in lines])
-    weight: dict[int, int] = {}
-    for line in lines:
-        if line.smoothed >= threshold:
-            weight[line.section] = weight.get(line.section, 0) + len(line.text)
-    # the section with most content text, widened to the article or main element around it
-    root = max(weight, key=lambda s: (weight[s], -s))
+    # the smallest section around all content lines, widened to the article or main element around it
+    content = {x.section for x in lines if x.smoothed >= threshold}
+    root = min(content)
+    while not all(maker.within(s, root) for s in content):
+        root = maker.parents[root]
     at = root
     while at and maker.kinds[at] not in ("article", "main"):
         at = maker.parents[at]
     root = at or root
-    if maker.kinds[root] in ("td", "div", "section") and weight[root] < 0.5 * sum(weight.values()):
-        root = maker.parents[root]
     chosen = [i for i, x in enumerate(lines) if maker.within(x.section, root)]
     # a title may stand before the section of its text
     titles = [i for i, x in enumerate(lines) if x.title and i < chosen[0]]

@@ -183,6 +183,20 @@ def test_extraction(html, text):
     assert htmlextract.extract(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<body><div><section><p>Sixty parts of the text stand in here.</p></section><section><p>And forty parts of it here.</p></section></div></body>", "Sixty parts of the text stand in here.\n\nAnd forty parts of it here."),
+        ("<body><div id=a>" + "".join(f"<div class=row><div class=col><p>Paragraph {i} of the text stands here.</p></div></div>" for i in "123") + "</div></body>", "\n\n".join(f"Paragraph {i} of the text stands here." for i in "123")),
+        ("<article><p>The first article of the page.</p></article><article><p>The second article of it.</p></article>", "The first article of the page.\n\nThe second article of it."),
+        ("<html><head><meta charset=x><title>t</title><body><p>Text of the body.</p></body></html>", "Text of the body."),
+        ("<head><title>t</title><p>Text without a body tag.</p>", "Text without a body tag."),
+    ],
+)
+def test_all_content_lines_stay(html, text):
+    assert htmlextract.extract(html) == text
+
+
 def test_extraction_frame(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a  b</p>"), (1, "u", "<p>a  b</p>"), (2, None, None)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert [tuple(r) for r in htmlextract.extract_main_text(pages, keep=("url",)).orderBy("page_id").collect()] == [(1, "u", "a b"), (1, "u", "a b"), (2, None, "")]
