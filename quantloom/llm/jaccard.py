@@ -172,9 +172,91 @@ def _prefixes(docs: DataFrame, how: JaccardJoin, tokens: np.ndarray, times: np.n
     return map_arrow(docs.select("id", "text"), run, "token long, pos int, salt int, fp long, n int, rest int, known smallint")
 
 
+def _frequent(profile: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, ``most`` at most, sorted, with how often they were seen; ties at the end are left out.
+
+    A count by frequency gives the least frequency that counts, so that no more than ``most`` rows ever meet in the driver.
+    """
+    counted = materialise(profile.where("kind = 1").groupBy("fp").agg(F.sum("n").alias("times")), "counted")
+    # frequencies are told apart up to 10,000 and by their leading digits beyond
+    step = F.pow(10.0, F.greatest(F.length(F.col("times").cast("string")) - 4, F.lit(0)))
+    level = (F.floor(F.col("times") / step) * step).cast("long")
+    levels = counted.groupBy(level.alias("level")).agg(F.count("*").alias("c")).orderBy(F.desc("level")).collect()
+    least, held = None, 0
+    for row in levels:
+        held += row["c"]
+        if held > most:
+            break
+        least = row["level"]
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    often = counted.where(F.col("times") >= least).toPandas()
+    tokens = often["fp"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], often["times"].to_numpy(np.int64)[order]
+
+
+#: Columns of a prefix entry.
+ENTRY = ("token", "pos", "salt", "fp", "n", "rest", "known")
+
+
+def _met(entries: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Of entries sorted by token and salt: those of lists with several nodes, and of all parts of long ones, each node once, with the list's best-known node."""
+    fresh = lambda *keys: np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]) if len(keys[0]) else np.zeros(0, bool)
+    run = np.cumsum(fresh(entries["token"], entries["salt"]))
+    several = (np.bincount(run)[run] > 1) | (entries["salt"] >= 0) if len(run) else np.zeros(0, bool)
+    entries, run = {k: v[several] for k, v in entries.items()}, run[several]
+    # copies met in several tasks are one node; the last one of each run is the best known
+    order = np.lexsort((entries["fp"], entries["n"], entries["known"], run))
+    entries, run = {k: v[order] for k, v in entries.items()}, run[order]
+    first = fresh(run, entries["fp"], entries["n"])
+    entries, run = {k: v[first] for k, v in entries.items()}, run[first]
+    size = np.bincount(run)[run] if len(run) else run
+    last = np.flatnonzero(np.append(run[1:] != run[:-1], True)) if len(run) else run
+    pivot = np.repeat(last, np.diff(np.append(-1, last)))
+    keep = (size > 1) | (entries["salt"] >= 0)
+    out = {k: entries[k] for k in ("token", "pos", "fp", "n", "rest")} | {f"{k}2": entries[k][pivot] for k in ("fp", "n", "rest")}
+    return {k: v[keep] for k, v in out.items()}
+
+
+def _lists(dealt: DataFrame) -> DataFrame:
+    """(token, pos, fp, n, rest, fp2, n2, rest2): entries of the shingles that several nodes have in their prefixes, with the best-known node of the list.
+
+    Entries are dealt out and sorted by shingle; most shingles stand in one prefix only and go as they stream by.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("token", "pos", "fp", "n", "rest", "fp2", "n2", "rest2")
+        held: list[dict[str, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            met = _met({c: np.concatenate([h[c] for h in held]) for c in ENTRY})
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(met[c]) for c in names], [*names])
+
+        for batch in batches:
+            own = {c: batch.column(c).to_numpy() for c in ENTRY}
+            if not batch.num_rows:
+                continue
+            # the last list may go on in the next batch
+            edge = np.flatnonzero((own["token"][1:] != own["token"][:-1]) | (own["salt"][1:] != own["salt"][:-1])) + 1
+            last = [h[c][-1] for h in held[-1:] for c in ("token", "salt")]
+            if held and last != [own["token"][0], own["salt"][0]]:
+                yield out()
+            if len(edge):
+                held.append({c: v[: edge[-1]] for c, v in own.items()})
+                yield out()
+                own = {c: v[edge[-1] :] for c, v in own.items()}
+            held.append(own)
+        if held:
+            yield out()
+
+    return map_arrow(dealt.repartition("token", "salt").sortWithinPartitions("token", "salt"), run, "token long, pos int, fp long, n int, rest int, fp2 long, n2 int, rest2 int")
+
+
 def _least_shared(n, m, rest, rest2, percent: int):
     """Shingles that the prefixes of two similar sets share at least."""
-    overlap = F.ceil(percent * (n + m) / (100.0 + percent) - 1e-9)
+    overlap = F.call_function("div", percent * (n + m).cast("long") + (99 + percent), F.lit(100 + percent)).cast("int")
     return F.greatest(overlap - F.greatest(rest, rest2), F.lit(1))
 
 
@@ -226,59 +308,65 @@ def jaccard_components(docs: DataFrame, how: JaccardJoin | None = None, *, id_co
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     profile = materialise(_profile(docs, how), "profile")
     rows = profile.where("kind = 0").select("id", F.col("n").cast("int").alias("n"), "fp")
-    often = profile.where("kind = 1").groupBy("fp").agg(F.sum("n").alias("times")).orderBy(F.desc("times"), "fp").limit(how.frequent_shingles).toPandas()
-    tokens = often["fp"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    nodes = rows.where("n > 0").groupBy("fp", "n").agg(F.min("id").alias("rep"))
-    nodes = materialise(nodes, "nodes")
-
-    dealt = _prefixes(docs, how, tokens[order], often["times"].to_numpy(np.int64)[order]).repartition("token", "salt").dropDuplicates(["token", "salt", "fp", "n"])
-    part = Window.partitionBy("token", "salt")
-    lists = dealt.withColumn("pivot", F.max(F.struct("known", "n", "fp", "rest")).over(part)).withColumn("size", F.count("*").over(part))
-    lists = materialise(lists.where("size > 1 or salt >= 0").select("token", "pos", "fp", "n", "rest", F.col("pivot.fp").alias("fp2"), F.col("pivot.n").alias("n2"), F.col("pivot.rest").alias("rest2")), "lists")
+    tokens, times = _frequent(profile, how.frequent_shingles)
+    nodes = materialise(rows.where("n > 0").groupBy("fp", "n").agg(F.min("id").alias("rep")), "nodes")
+    lists = materialise(_lists(_prefixes(docs, how, tokens, times)), "lists")
 
     def near(n, m):
         return 100 * F.least(n, m) >= how.percent * F.greatest(n, m)
 
-    ties = lists.where(((F.col("fp") != F.col("fp2")) | (F.col("n") != F.col("n2"))) & near("n", "n2")).groupBy("fp", "n", "rest", "fp2", "n2", "rest2").agg(F.count("*").alias("shared"))
+    ties = lists.where(((F.col("fp") != F.col("fp2")) | (F.col("n") != F.col("n2"))) & near("n", "n2"))
+    ties = ties.groupBy("fp", "n", "fp2", "n2").agg(F.count("*").alias("shared"), F.min("rest").alias("rest"), F.min("rest2").alias("rest2"))
     ties = ties.where(F.col("shared") >= _least_shared(F.col("n"), F.col("n2"), F.col("rest"), F.col("rest2"), how.percent))
     best = ties.groupBy("fp", "n").agg(F.max(F.struct("shared", "fp2", "n2")).alias("b"))
     first = materialise(_verified(docs, best.select("fp", "n", "b.fp2", "b.n2"), nodes, how), "links")
 
     groups = materialise(connected_components(first), "groups")
+    named = nodes.join(groups.withColumnRenamed("vertex", "rep"), "rep", "left").select("fp", "n", "rep", F.coalesce("component", "rep").alias("group"))
+    named = materialise(named, "named")
     # k: lists that a node stands in, the most that it can share with another
-    placed = lists.groupBy("fp", "n").agg(F.count("*").cast("int").alias("k")).join(nodes, ["fp", "n"]).join(groups.withColumnRenamed("vertex", "rep"), "rep", "left").select("fp", "n", "k", F.coalesce("component", "rep").alias("group"))
-    placed = lists.select("token", "pos", "fp", "n", "rest").join(placed, ["fp", "n"])
-    shares = placed.groupBy("token", "group").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "group")).alias("m"), F.count("*").alias("g")).where("g > 1")
-    open_lists = materialise(placed.join(shares.select("token", F.col("m.group").alias("main")), "token"), "open")
-    a, b = open_lists.where("group <> main").alias("a"), open_lists.alias("b")
+    placed = lists.select("token", "pos", "fp", "n", "rest").join(named.select("fp", "n", "group"), ["fp", "n"])
+    placed = placed.withColumn("k", F.count("*").over(Window.partitionBy("fp", "n")).cast("int"))
+    shares = placed.groupBy("token", "group").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "group")).alias("m"), F.count("*").alias("g"), F.sum("c").alias("size")).where("g > 1")
+    # a long list is met in parts: its nodes outside of the main group are dealt out, the whole list goes to each part
+    shares = shares.select("token", F.col("m.group").alias("main"), F.ceil(F.col("size") / how.list_rows).cast("int").alias("parts"))
+    open_lists = materialise(placed.join(shares, "token"), "open")
+    a = open_lists.where("group <> main").withColumn("part", F.pmod(F.xxhash64("fp", "n"), F.col("parts")).cast("int")).alias("a")
+    b = open_lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
     least = _least_shared(F.col("a.n"), F.col("b.n"), F.col("a.rest"), F.col("b.rest"), how.percent)
     met = a.join(
         b,
-        (F.col("a.token") == F.col("b.token")) & (F.col("a.group") != F.col("b.group")) & near(F.col("a.n"), F.col("b.n")) & (F.least("a.k", "b.k") >= least)
+        (F.col("a.token") == F.col("b.token")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.group") != F.col("b.group")) & near(F.col("a.n"), F.col("b.n")) & (F.least("a.k", "b.k") >= least)
         # the first shingle that two similar sets share has the others behind it in both prefixes
         & (F.col("a.pos") <= F.col("a.n") - F.col("a.rest") - least) & (F.col("b.pos") <= F.col("b.n") - F.col("b.rest") - least)
-        & ((F.col("b.group") == F.col("b.main")) | (F.struct("a.group", "a.n", "a.fp") < F.struct("b.group", "b.n", "b.fp"))),
+        & ((F.col("b.group") == F.col("b.main")) | (F.col("a.group") < F.col("b.group"))),
     )
     # a pair may be met from either side in different lists
-    low, high = F.least(F.struct("a.fp", "a.n"), F.struct("b.fp", "b.n")), F.greatest(F.struct("a.fp", "a.n"), F.struct("b.fp", "b.n"))
-    pairs = met.select(low.alias("x"), high.alias("y"), least.alias("least")).distinct().select("x.fp", "x.n", F.col("y.fp").alias("fp2"), F.col("y.n").alias("n2"), "least")
+    both = [F.when(F.col("a.group") < F.col("b.group"), F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}")).alias(f"{c}{i}") for x, y, i in (("a", "b", ""), ("b", "a", "2")) for c in ("fp", "n")]
+    pairs = met.select(*both).distinct()
     # count what the whole prefixes share before whole sets are met
-    prefixes = lists.groupBy("fp", "n").agg(F.collect_list("token").alias("t"))
-    pairs = pairs.join(prefixes, ["fp", "n"]).join(prefixes.select(F.col("fp").alias("fp2"), F.col("n").alias("n2"), F.col("t").alias("t2")), ["fp2", "n2"])
-    pairs = pairs.where(F.size(F.array_intersect("t", "t2")) >= F.col("least"))
+    prefixes = lists.groupBy("fp", "n").agg(F.collect_list("token").alias("t"), F.min("rest").alias("rest"))
+    pairs = pairs.join(prefixes, ["fp", "n"]).join(prefixes.select(*(F.col(c).alias(f"{c}2") for c in prefixes.columns)), ["fp2", "n2"])
+    pairs = pairs.where(F.size(F.array_intersect("t", "t2")) >= _least_shared(F.col("n"), F.col("n2"), F.col("rest"), F.col("rest2"), how.percent))
     second = _verified(docs, pairs.select("fp", "n", "fp2", "n2"), nodes, how)
 
     # texts under one id are one document
-    with_rep = rows.join(nodes, ["fp", "n"], "left")
+    with_rep = rows.join(named, ["fp", "n"], "left")
     twice = with_rep.where("id is not null and rep is not null").groupBy("id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u <> v")
     same = with_rep.join(twice.select("id"), "id").where("rep <> id").select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    component = connected_components(first.union(second).union(same))
-    done = nodes.join(component.withColumnRenamed("vertex", "rep"), "rep", "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id"))
+    # the links found last are between groups
+    between = _of_groups(_of_groups(second.union(same), groups, "u"), groups, "v")
+    component = connected_components(between)
+    done = named.join(component.withColumnRenamed("vertex", "group"), "group", "left").select("fp", "n", F.coalesce("component", "group").alias("component_id"))
     out = rows.join(done, ["fp", "n"], "left")
     return out.select(F.col("id").alias(id_column), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("n") == 0, F.col("id"))).alias("component_id"))
 
 
+def _of_groups(edges: DataFrame, groups: DataFrame, end: str) -> DataFrame:
+    """``edges`` with the group that the vertex at ``end`` is in, if any."""
+    return edges.join(groups.withColumnRenamed("vertex", end), end, "left").withColumn(end, F.coalesce("component", end)).select("u", "v")
+
+
 def _with_set(docs: DataFrame, text_column: str, k: int) -> DataFrame:
     """``docs`` with the hash and size of each text's set."""
     at = docs.columns.index(text_column)

@@ -220,7 +220,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, how: RuleFit | None = None,
     n = known.count()
     drawn = known.where(F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, how.sample_rows / max(n, 1))))
     narrow = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("text is not null")
-    joined = narrow.join(bounded(drawn, 2 * how.sample_rows), F.col("id") == F.col("label_id")).select("id", "text", "label")
+    joined = narrow.join(bounded(drawn), F.col("id") == F.col("label_id")).select("id", "text", "label")
     table = with_statistics(joined, "text", ["id", "label"]).toPandas().sort_values(["id", "label", *(PREFIX + s for s in STATISTICS)])
     return fit_rules(table[[PREFIX + s for s in STATISTICS]].to_numpy(float), table["label"].to_numpy(float), how)
 

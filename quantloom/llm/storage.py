@@ -10,12 +10,12 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructField, StructType
 
-#: Tables up to this many rows may be broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Tables up to this many bytes may be broadcast; larger ones are shuffled.
+BROADCAST_BYTES = 16 << 20
 
 
 _own: dict[str, str] = {}
@@ -41,9 +41,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count shows that it is small enough, else unchanged."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bytes_of(field: StructField) -> Column:
+    """About how many bytes a value takes in a row; a nested value by its JSON form."""
+    value, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.lit(8) + F.coalesce(F.octet_length(value), F.lit(0))
+    if isinstance(kind, (ArrayType, MapType, StructType)):
+        return F.lit(8) + F.coalesce(F.octet_length(F.to_json(value)), F.lit(0))
+    return F.lit(8)
+
+
+def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its rows are counted to take ``most`` bytes or less, else unchanged."""
+    rows = most // (8 + 8 * len(df.columns))
+    taken = df.limit(rows + 1).agg(F.count("*"), F.sum(sum((_bytes_of(f) for f in df.schema), F.lit(8)))).first()
+    return F.broadcast(df) if taken[0] <= rows and (taken[1] or 0) <= most else df
 
 
 def held_out(doc_id: str = "doc_id"):
