@@ -5,11 +5,13 @@ context has not seen costs an escape, whose probability mass is spread over the
 context ranks them; order -1 is uniform. The statistics are then frozen, and a text's code length under each language
 is exact: the sum of -log2 of these probabilities over all its bytes. The shortest code wins.
 
-Bytes are folded before coding: A-Z to a-z, digits to 0, white space to a space. Bytes that no training text holds
-share one symbol.
+Bytes are folded before coding: A-Z to a-z, digits to 0, white space to a space. Every byte that a training text holds is
+a symbol; those that none holds share one. Only what was seen is stored: pairs of context and symbol with their code
+lengths, and the escapes of contexts, so that a model is bounded by its training texts, whatever the alphabet.
 
-Null text, and text without a letter: ``und`` with score 0. No labelled texts at all: ``und`` for every text. Ties go
-to the language that sorts first. Repeated rows are predicted alike; other columns are not read.
+Null and empty text, and text without a letter: ``und`` with score 0. No labelled texts at all: ``und`` for every text.
+Long texts are coded whole. Ties go to the language that sorts first. Repeated rows are predicted alike, an empty table
+gives no rows, and other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,9 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import chunks
+from .storage import map_arrow
 
-#: Most symbols of the folded alphabet; rarer bytes share the last one.
-MAX_SYMBOLS = 64
+#: Bytes coded at once; a longer text is coded in parts.
+PART = 1 << 18
+#: Tables of pairs up to this many entries are addressed directly, others searched.
+DIRECT = 1 << 20
 
 
 def _fold() -> np.ndarray:
@@ -39,35 +44,80 @@ def _fold() -> np.ndarray:
 FOLD = _fold()
 
 
+@dataclass
+class Order:
+    """Contexts of one length: pairs (context x size + symbol) seen in any language, sorted, and escapes by context."""
+
+    pairs: np.ndarray
+    bits: np.ndarray  # pair x language: code length of the symbol
+    context: np.ndarray  # pair -> row of escapes
+    escapes: np.ndarray  # context x language: bits before the symbol's code in the shorter context, 0 where a language has not seen the context
+
+    def found(self, pairs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row of each pair, whether it is there, and the row of its context, -1 for one not seen."""
+        at = np.searchsorted(self.pairs, pairs)
+        here, before = np.minimum(at, len(self.pairs) - 1), np.maximum(at - 1, 0)
+        own = pairs // size
+        context = np.where(self.pairs[here] // size == own, self.context[here], np.where(self.pairs[before] // size == own, self.context[before], -1))
+        return here, self.pairs[here] == pairs, context
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
     symbols: np.ndarray  # byte -> symbol
-    nodes: np.ndarray  # packed context of `order` symbols -> row of cost, 0 for those not seen
-    cost: list[np.ndarray]  # by order: context row x symbol x language, bits
-    order: int
     size: int
+    orders: list[Order]
+
+    def __post_init__(self):
+        self.direct: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"direct": {}}
+
+    def _found(self, k: int, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = self.orders[k]
+        if self.size ** (k + 1) > DIRECT:
+            return order.found(pairs, self.size)
+        if k not in self.direct:
+            self.direct[k] = order.found(np.arange(self.size ** (k + 1)), self.size)
+        return tuple(x[pairs] for x in self.direct[k])
+
+    def code(self, pairs: list[np.ndarray], known: list[np.ndarray]) -> np.ndarray:
+        """Bits of symbols under each language, from their pairs at every order up to one, where such a context is known."""
+        out = np.full((len(pairs[0]), len(self.languages)), np.log2(self.size), np.float32)
+        for k, (own, inside) in enumerate(zip(pairs, known, strict=True)):
+            if not len(self.orders[k].pairs):
+                break
+            row, there, context = self._found(k, own)
+            there, escaped = there & inside, ~there & (context >= 0) & inside
+            out[escaped] += self.orders[k].escapes[context[escaped]]
+            out[there] = self.orders[k].bits[row[there]]
+        return out
 
     def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length of each text under each language."""
-        n, order, size = len(data), self.order, self.size
-        s = self.symbols[data].astype(np.int64)
-        depth = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))
-        context = np.zeros(n, np.int64)
-        out = self.cost[0][0][s]
-        for k in range(1, order + 1):
-            context[k:] += s[:-k] * size ** (k - 1) if k < n else 0
-            inside = depth >= k
-            if k < order:
-                rows = context[inside]
-                out[inside] = self.cost[k][rows, s[inside]]
-            else:
-                node = self.nodes[context]
-                inside &= node > 0
-                out[inside] = self.cost[k][node[inside], s[inside]]
-        total = np.zeros((n + 1, out.shape[1]))
-        np.cumsum(out, axis=0, out=total[1:])
-        return total[offsets[1:]] - total[offsets[:-1]]
+        top, size = len(self.orders) - 1, self.size
+        total = np.zeros((len(offsets) - 1, len(self.languages)))
+        for low in range(0, len(data), PART):
+            high, begin = min(low + PART, len(data)), max(low - top, 0)
+            s = self.symbols[data[begin:high]].astype(np.int64)
+            first = np.searchsorted(offsets, low, side="right") - 1
+            # texts that begin before the part's end, and where each byte's text begins
+            bounds = np.clip(offsets[first : np.searchsorted(offsets, high) + 1], low, high)
+            depth = np.arange(low, high) - np.repeat(offsets[first : first + len(bounds) - 1], np.diff(bounds))
+            here = s[low - begin :]
+            pairs, known, context = [here], [np.ones(len(here), bool)], np.zeros(len(here), np.int64)
+            padded = np.concatenate([np.zeros(top - (low - begin), np.int64), s])
+            for k in range(1, top + 1):
+                context = context + padded[top - k : top - k + len(here)] * size ** (k - 1)
+                pairs.append(context * size + here)
+                known.append(depth >= k)
+            bits = self.code(pairs, known)
+            full = np.flatnonzero(np.diff(bounds))
+            if len(full):
+                total[first + full] += np.add.reduceat(bits, bounds[full] - low, axis=0, dtype=np.float64)
+        return total
 
 
 def train(samples: list[tuple[str, np.ndarray]], order: int = 3) -> LanguageModel | None:
@@ -75,61 +125,54 @@ def train(samples: list[tuple[str, np.ndarray]], order: int = 3) -> LanguageMode
     if not samples:
         return None
     languages = sorted({lang for lang, _ in samples})
-    counts = sum(np.bincount(data, minlength=256) for _, data in samples)
-    kept = np.sort(np.argsort(-counts, kind="stable")[: min(MAX_SYMBOLS - 1, int((counts > 0).sum()))])
-    size = len(kept) + 1
+    seen = np.flatnonzero(sum(np.bincount(data, minlength=256) for _, data in samples))
+    size = len(seen) + 1
     symbols = np.full(256, size - 1, np.uint8)
-    symbols[kept] = np.arange(len(kept))
-    symbols[:] = symbols[FOLD]
-    joined = {lang: [symbols[data].astype(np.int64) for own, data in samples if own == lang] for lang in languages}
-    grams = {}
+    symbols[seen] = np.arange(len(seen))
+    model = LanguageModel(languages, symbols[FOLD], size, [])
     for k in range(order + 1):
+        counts = []
         for lang in languages:
-            parts = []
-            for s in joined[lang]:
-                if len(s) > k:
-                    packed = s[k:].copy()
-                    for j in range(1, k + 1):
-                        packed += s[k - j : len(s) - j] * size**j
-                    parts.append(packed)
-            grams[k, lang] = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    top = np.unique(np.concatenate([grams[order, lang][0] // size for lang in languages]))
-    nodes = np.zeros(size**order, np.int32)
-    nodes[top] = np.arange(1, len(top) + 1)
-    cost, below = [], None
-    for k in range(order + 1):
-        contexts = np.arange(size**k) if k < order else np.concatenate([[0], top])
-        probabilities = np.empty((len(contexts), size, len(languages)), np.float32)
-        for i, lang in enumerate(languages):
-            shorter = np.full((len(contexts), size), 1 / size) if below is None else below[contexts % size ** (k - 1)][:, :, i] if k else None
-            packed, seen = grams[k, lang]
-            count = np.zeros((len(contexts), size))
-            rows = packed // size
-            count[rows if k < order else nodes[rows], packed % size] = seen
-            n, distinct = count.sum(axis=1, keepdims=True), (count > 0).sum(axis=1, keepdims=True)
-            unseen = np.where(count > 0, 0, shorter)
-            left = unseen.sum(axis=1, keepdims=True)
+            parts = [np.zeros(0, np.int64)]
+            for own, data in samples:
+                if own == lang and len(data) > k:
+                    s = symbols[data].astype(np.int64)
+                    parts.append(s[k:] + sum(s[k - j : len(s) - j] * size**j for j in range(1, k + 1)))
+            counts.append(np.unique(np.concatenate(parts), return_counts=True))
+        pairs = np.unique(np.concatenate([c[0] for c in counts]))
+        contexts, context = np.unique(pairs // size, return_inverse=True)
+        # the same symbols after the shorter contexts
+        below = [pairs % size + pairs // size % size**j * size for j in range(k)]
+        lower = model.code(below, [np.ones(len(pairs), bool)] * k) if k else np.full((len(pairs), len(languages)), np.log2(size))
+        bits, escapes = np.empty((len(pairs), len(languages)), np.float32), np.zeros((len(contexts), len(languages)), np.float32)
+        for i, (own, times) in enumerate(counts):
+            count = np.zeros(len(pairs))
+            count[np.searchsorted(pairs, own)] = times
+            by_context = lambda values: np.bincount(context, weights=values, minlength=len(contexts))
+            n, distinct = by_context(count), by_context(count > 0)
+            left = 1 - by_context(np.where(count > 0, np.exp2(-lower[:, i].astype(float)), 0))
             # with every symbol seen there is nothing to escape to
-            escape = np.where(left > 1e-12, distinct, 0)
-            p = np.where(count > 0, count / np.maximum(n + escape, 1), escape / np.maximum(n + escape, 1) * unseen / np.maximum(left, 1e-12))
-            probabilities[:, :, i] = np.where(n > 0, p, shorter)
-        below = probabilities
-        cost.append(-np.log2(np.maximum(probabilities, 1e-9)))
-    return LanguageModel(languages, symbols, nodes, cost, order, size)
+            escape = np.where(distinct == size, 0, distinct)
+            all_ = np.maximum(n + escape, 1)
+            spent = np.where((n > 0) & (escape > 0), -np.log2(np.maximum(escape, 1) / all_ / np.maximum(left, 1e-9)), 0)
+            escapes[:, i] = spent
+            bits[:, i] = np.where(count > 0, -np.log2(np.maximum(count, 1) / all_[context]), lower[:, i] + spent[context])
+        model.orders.append(Order(pairs, bits, context, escapes))
+    return model
 
 
-def fit_language_model(labelled: DataFrame, *, text_column: str = "text", lang_column: str = "lang", id_column: str = "doc_id", rows_per_language: int = 300, order: int = 3) -> LanguageModel | None:
-    """Count the trees on at most about ``rows_per_language`` texts of each language, picked by a hash of the id.
+def fit_language_model(labelled: DataFrame, *, text_column: str = "text", lang_column: str = "lang", id_column: str = "doc_id", rows_per_language: int = 300, bytes_per_language: int = 1 << 20, order: int = 3) -> LanguageModel | None:
+    """Count the trees on about ``rows_per_language`` texts and ``bytes_per_language`` bytes of each language at most, picked by a hash of the id.
 
-    The bound keeps driver memory fixed; ``order`` symbols of context are kept.
+    The bounds keep driver memory fixed for each language; ``order`` symbols of context are kept.
     """
     known = labelled.select(F.col(text_column).alias("text"), F.col(lang_column).alias("lang"), F.col(id_column).alias("id")).where("text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()
     if not counts:
         return None
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, rows_per_language / n)))])
-    drawn = known.where((F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1_000_000.0) < share[F.col("lang")])
-    samples = sorted((r["lang"], r["text"]) for r in drawn.collect())
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, rows_per_language / r["n"], bytes_per_language / max(r["bytes"], 1))))])
+    drawn = known.where(F.octet_length("text") <= bytes_per_language).where((F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1_000_000.0) < share[F.col("lang")])
+    samples = sorted((r["lang"], r["text"]) for r in drawn.select("lang", "text").collect())
     return train([(lang, FOLD[np.frombuffer(text.encode(), np.uint8)]) for lang, text in samples if text], order)
 
 
@@ -150,7 +193,7 @@ def identify_language(docs: DataFrame, model: LanguageModel | None, *, id_column
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for rows, texts in chunks(batch.column(1), 1_000_000):
+            for rows, texts in chunks(batch.column(1)):
                 known = _has_letter(texts.data, texts.offsets) & (model is not None)
                 lang, score, rate = np.full(len(texts), "und", object), np.zeros(len(texts)), np.full(len(texts), np.nan)
                 if model is not None:
@@ -168,4 +211,4 @@ def identify_language(docs: DataFrame, model: LanguageModel | None, *, id_column
 
     narrow = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"id {kind}, lang_pred string, score double, bits_per_byte double").withColumnRenamed("id", id_column)
+    return map_arrow(narrow, run, f"id {kind}, lang_pred string, score double, bits_per_byte double").withColumnRenamed("id", id_column)
