@@ -65,7 +65,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition_rules(table(spark, sf_dir, "documents")).drop("ngram_coverage", "line_coverage")
+    return repetition_rules(table(spark, sf_dir, "documents")).drop("ngram_coverage", "top_coverage", "line_coverage")
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,13 +84,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 def _repetition_sql() -> str:
     rules = RepetitionRules()
-    sizes = sorted({*rules.ngrams, rules.repeat_window})
-    windows = "".join(f", CASE WHEN count(*) OVER f{n} = {n} THEN string_agg(word, chr(1)) OVER f{n} END AS g{n}" for n in sizes)
+    sizes = sorted({*rules.ngrams, *rules.top, rules.repeat_window})
+    long_ones = sorted({*rules.ngrams, rules.repeat_window})
+    windows = "".join(f", CASE WHEN count(*) OVER f{n} = {n} THEN string_agg(word, chr(1)) OVER f{n} END AS g{n}, sum(length(word)) OVER f{n} AS z{n}" for n in sizes)
     frames = ", ".join(f"f{n} AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)" for n in sizes)
-    twice = "".join(f", CASE WHEN g{n} IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g{n}) > 1 THEN 1 ELSE 0 END AS d{n}" for n in sizes)
-    hit = "".join(f", max(d{n}) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS h{n}" for n in sizes)
-    sums = "".join(f", sum(h{n} * length(word)) / greatest(sum(length(word)), 1) AS c{n}" for n in sizes)
-    bad = " OR ".join(f"coalesce(c{n}, 0) > {most}" for n, most in rules.ngrams.items())
+    twice = "".join(f", CASE WHEN g{n} IS NOT NULL THEN count(*) OVER (PARTITION BY doc_id, g{n}) ELSE 0 END AS k{n}" for n in sizes)
+    hit = "".join(f", max(CASE WHEN k{n} > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS h{n}" for n in long_ones)
+    sums = "".join(f", sum(h{n} * length(word)) / greatest(sum(length(word)), 1) AS c{n}" for n in long_ones)
+    sums += "".join(f", max(CASE WHEN k{n} >= {rules.top_times} THEN k{n} * z{n} ELSE 0 END) / greatest(sum(length(word)), 1) AS t{n}" for n in rules.top)
+    bad = " OR ".join([*(f"coalesce(c{n}, 0) > {most}" for n, most in rules.ngrams.items()), *(f"coalesce(t{n}, 0) > {most}" for n, most in rules.top.items())])
     return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, unnest(x) AS word, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS x FROM d)),
 g AS (SELECT *{windows} FROM w WINDOW {frames}), t AS (SELECT *{twice} FROM g), h AS (SELECT *{hit} FROM t),

@@ -1,10 +1,14 @@
 """Quality rules on repetition: characters inside duplicated word n-grams and duplicated lines.
 
-Rolling hashes of several n-gram lengths are taken over all words of a batch at once in numpy. A text is judged on its
-own, so there is no shuffle and memory is bounded by one Arrow batch.
-
-Null text is the empty text: all counts 0, ``base_failed`` true. Repeated rows are judged alike. Only ``id_column`` and
-``text_column`` are read, so further columns, whatever their names, don't matter.
+Rolling hashes of several n-gram lengths are taken over all words of a batch at once in numpy. Long n-grams (5 to 10) are
+measured by the characters inside any that occur twice or more. Short ones (2 to 4) repeat in all prose; of these the one
+that fills most of the text counts, if it occurs ``top_times`` or more, which catches a phrase that comes back between
+other words, where no long n-gram does. A text is judged on its own, so there is no shuffle and memory is bounded by one
+Arrow batch.
+
+Null text is the empty text: all counts 0, ``base_failed`` true. Repeated rows are judged alike; an empty table gives no
+rows; long texts are measured whole. Only ``id_column`` and ``text_column`` are read, so further columns, whatever their
+names, don't matter.
 """
 
 from __future__ import annotations
@@ -18,16 +22,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import Texts, chunks, code_points, mix
+from .storage import map_arrow
 
 SYMBOLS = "#*$%&|<>"
-SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, ngram_coverage array<double>, line_coverage double, base_failed boolean, kept boolean"
+SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, ngram_coverage array<double>, top_coverage array<double>, line_coverage double, base_failed boolean, kept boolean"
 
 
 @dataclass(frozen=True)
 class RepetitionRules:
-    """Largest share of a text's word characters inside n-grams found twice or more, by n, and inside repeated lines."""
+    """Largest shares of a text's word characters."""
 
+    #: Inside n-grams found twice or more, by n.
     ngrams: dict[int, float] = field(default_factory=lambda: {5: 0.30, 7: 0.25, 10: 0.20})
+    #: In the occurrences of one n-gram found ``top_times`` or more, by n.
+    top: dict[int, float] = field(default_factory=lambda: {2: 0.20, 3: 0.18, 4: 0.16})
+    top_times: int = 4
+    #: Inside repeated lines.
     lines: float = 0.30
     min_words: int = 10
     repeat_window: int = 5
@@ -49,6 +59,22 @@ def _covered(words, text_of_word: np.ndarray, n: int, texts: int) -> np.ndarray:
     return np.cumsum(out[:-1]) > 0
 
 
+def _most(words, text_of_word: np.ndarray, sizes: np.ndarray, n: int, times: int, texts: int) -> np.ndarray:
+    """Per text: characters in all occurrences of the n-gram that has most of them, of those that occur ``times`` or more."""
+    hashes, at, _ = words.windows(n)
+    out = np.zeros(texts, np.int64)
+    if len(hashes):
+        keys = hashes ^ mix(text_of_word[at].astype(np.uint64))
+        order = np.argsort(keys)
+        first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+        count = np.diff(np.append(first, len(keys)))
+        one = at[order[first]]
+        running = np.concatenate([[0], np.cumsum(sizes)])
+        often = count >= times
+        np.maximum.at(out, text_of_word[one[often]], (count * (running[one + n] - running[one]))[often])
+    return out
+
+
 def _lines(texts: Texts, words, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per text: lines with a word that equal an earlier line; characters of words in any line that occurs twice or more."""
     data, offsets = texts.data, texts.offsets
@@ -101,11 +127,12 @@ def measure(texts: Texts, rules: RepetitionRules) -> dict[str, np.ndarray]:
     base_failed = (n_words < rules.min_words) | (100 * n_repeat_words > rules.repeat_percent * n_words)
     share = lambda chars: chars / np.maximum(word_chars, 1)
     coverage = np.stack([share(total(covered[n] * sizes)) for n in rules.ngrams], axis=1) if rules.ngrams else np.zeros((len(texts), 0))
+    top = np.stack([share(_most(words, owner, sizes, n, rules.top_times, len(texts))) for n in rules.top], axis=1) if rules.top else np.zeros((len(texts), 0))
     line_coverage = share(line_chars)
-    bad = (coverage > np.array([*rules.ngrams.values()])).any(axis=1) | (line_coverage > rules.lines)
+    bad = (coverage > np.array([*rules.ngrams.values()])).any(axis=1) | (top > np.array([*rules.top.values()])).any(axis=1) | (line_coverage > rules.lines)
     return {
         "n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words,
-        "ngram_coverage": coverage, "line_coverage": line_coverage, "base_failed": base_failed, "kept": ~base_failed & ~bad,
+        "ngram_coverage": coverage, "top_coverage": top, "line_coverage": line_coverage, "base_failed": base_failed, "kept": ~base_failed & ~bad,
     }
 
 
@@ -119,9 +146,9 @@ def repetition_rules(docs: DataFrame, rules: RepetitionRules | None = None, *, i
                 out = measure(texts, rules)
                 columns = [batch.column(0)[rows]]
                 for name, values in out.items():
-                    columns.append(pa.array(list(values), pa.list_(pa.float64())) if name == "ngram_coverage" else pa.array(values))
+                    columns.append(pa.array(list(values), pa.list_(pa.float64())) if values.ndim == 2 else pa.array(values))
                 yield pa.RecordBatch.from_arrays(columns, ["id", *out])
 
     narrow = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_column)
+    return map_arrow(narrow, run, f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_column)
