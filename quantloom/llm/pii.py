@@ -17,7 +17,13 @@ held against two kinds of entities:
 A term that discloses ``threshold`` of some entity or more is a span wherever it occurs, and is generalised or removed
 with the others.
 
-Only DataFrame functions are used. Null text is empty. Repeated rows get equal results; other columns are not read.
+A secret (a key, a token) is a protected entity too, but has no form of its own. It is known by its information: a run
+of ``secret_length`` letters and digits or more, of both, with ``secret_bits`` of entropy or more in each character. It
+reveals itself wholly, so every one is a span (kind ``secret``), also if it is seen once.
+
+Only DataFrame functions are used. Null text is empty; an empty table gives no rows. Repeated rows get equal results.
+Long texts are read whole, and a span costs about the same at any place. Columns named ``pii_<kind>`` are replaced;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,6 +46,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 WORD = r"[\p{L}\p{N}]+"
+KINDS = (*PATTERNS, "secret", "term")
 #: A text without this can't hold the kind.
 _HINTS: dict[str, Callable[[Column], Column]] = {
     "email": lambda t: t.contains("@"),
@@ -60,6 +67,9 @@ class Disclosure:
     window: int = 10
     #: Texts that p(e | t) is drawn towards p(e) by.
     prior: float = 0.5
+    #: Characters of a secret at least, and bits of entropy of each.
+    secret_length: int = 20
+    secret_bits: float = 3.0
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -118,6 +128,25 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {k: F.filter(_located(text, p, k, F.when(_HINTS[k](text), F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(F.array().cast("array<string>"))), _valid(k)) for k, p in PATTERNS.items()}
 
 
+def _entropy(value: Column) -> Column:
+    """Bits of a character of the value, by its own frequencies."""
+    n = F.length(value)
+    times = F.transform(F.array_distinct(F.split(value, "")), lambda c: n - F.length(F.replace(value, c, F.lit(""))))
+    return F.aggregate(times, F.lit(0.0), lambda a, k: F.when(k > 0, a - k / n * F.log2(k / n)).otherwise(a))
+
+
+def secret_spans(text: Column, how: Disclosure) -> Column:
+    """Runs of letters and digits that hold as much information as only keys do."""
+    run = rf"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{{{how.secret_length},}}+"
+    found = F.when(text.rlike(rf"[A-Za-z0-9_-]{{{how.secret_length}}}"), F.regexp_extract_all(text, F.lit(run), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.filter(_located(text, run, "secret", found), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]") & (_entropy(s["value"]) >= how.secret_bits))
+
+
+def _apart(spans: Column, others: Column) -> Column:
+    """The spans that overlap none of the others."""
+    return _let(others, lambda o: F.filter(spans, lambda s: ~F.exists(o, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"]))))
+
+
 def _terms(text: Column) -> Column:
     """The words with a letter outside of emails."""
     return F.filter(F.split(F.lower(F.regexp_replace(text, PATTERNS["email"], " ")), r"[^\p{L}\p{N}]+"), lambda w: w.rlike(r"\p{L}"))
@@ -142,7 +171,7 @@ def revealing_terms(docs: DataFrame, how: Disclosure, text_column: str) -> tuple
         s["kind"].alias("kind"), F.concat_ws(":", s["kind"], s["value"]).alias("value"),
         F.concat(_let(_terms(s["before"]), lambda w: F.slice(w, F.greatest(F.size(w) - how.window + 1, F.lit(1)), F.lit(how.window))), F.slice(_terms(s["after"]), F.lit(1), F.lit(how.window))).alias("words"),
     ))
-    held = texts.where(F.col("text").rlike("[0-9]|@")).withColumn("s", F.concat(*base_spans(F.col("text")).values())).where("size(s) > 0")
+    held = texts.where(F.col("text").rlike("[0-9]|@")).withColumn("s", F.concat(*base_spans(F.col("text")).values(), secret_spans(F.col("text"), how))).where("size(s) > 0")
     held = materialise(held.select("key", near.alias("near"), _terms(F.col("text")).alias("words")), "entities")
     spots = held.select("key", F.explode("near").alias("x"))
 
@@ -180,24 +209,22 @@ def revealing_terms(docs: DataFrame, how: Disclosure, text_column: str) -> tuple
 
 
 def find_personal_data(docs: DataFrame, how: Disclosure | None = None, *, text_column: str = "text") -> DataFrame:
-    """``docs`` with ``pii_<kind>`` for each kind and ``pii_term``: arrays of spans (kind, start, end, value, before, after)."""
+    """``docs`` with ``pii_<kind>`` for each of KINDS: arrays of spans (kind, start, end, value, before, after)."""
     how = how or Disclosure()
     text = F.coalesce(F.col(text_column), F.lit(""))
     terms = revealing_terms(docs, how, text_column)
-    out = docs.withColumns({f"pii_{k}": c for k, c in base_spans(text).items()})
+    out = docs.drop(*(f"pii_{k}" for k in KINDS)).withColumns({f"pii_{k}": c for k, c in base_spans(text).items()})
+    base = F.concat(*(F.col(f"pii_{k}") for k in PATTERNS))
+    out = out.withColumn("pii_secret", _apart(secret_spans(text, how), base))
     if terms is None:
         return out.withColumn("pii_term", F.array().cast(_SPAN))
     held = materialise(terms[1].groupBy("key").agg(F.collect_set("term").alias("pii_held")), "held").withColumnRenamed("key", "pii_key")
     out = out.withColumn("pii_key", F.md5(text.cast("binary"))).join(bounded(held), "pii_key", "left").drop("pii_key")
-    base = F.concat(*(F.col(f"pii_{k}") for k in PATTERNS))
-    spots = _located(text, WORD, "term", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
-    own = _let(base, lambda b: F.filter(spots, lambda s: F.array_contains(F.col("pii_held"), F.lower(s["value"])) & ~F.exists(b, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"]))))
+    spots = F.filter(_located(text, WORD, "term", F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), lambda s: F.array_contains(F.col("pii_held"), F.lower(s["value"])))
+    own = _apart(spots, F.concat(base, F.col("pii_secret")))
     return out.withColumn("pii_term", F.when(F.col("pii_held").isNull(), F.array().cast(_SPAN)).otherwise(own)).drop("pii_held")
 
 
-KINDS = (*PATTERNS, "term")
-
-
 def redact(found: DataFrame, *, text_column: str = "text") -> DataFrame:
     """The result of ``find_personal_data`` with every span generalised to its kind, like [EMAIL], and revealing terms removed; null text stays null."""
     spans = F.array_sort(F.concat(*(F.transform(f"pii_{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))) for k in KINDS)))
@@ -218,12 +245,14 @@ def redact(found: DataFrame, *, text_column: str = "text") -> DataFrame:
 
 
 def span_digest(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """id, counts by kind, the SHA-256 of the base spans, and all spans written as kind:start:end."""
+    """id, counts by kind and of all spans, the SHA-256 of the base spans, and all spans written as kind:start:end."""
     base = F.concat(*(F.col(f"pii_{k}") for k in PATTERNS))
     return found.select(
         id_column,
         *(F.size(f"pii_{k}").cast("long").alias(f"n_{k}") for k in PATTERNS),
         F.sha2(_written(base).cast("binary"), 256).alias("base_sha256"),
-        _written(F.concat(base, F.col("pii_term"))).alias("spans"),
+        _written(F.concat(base, F.col("pii_secret"), F.col("pii_term"))).alias("spans"),
+        F.size("pii_secret").cast("long").alias("n_secret"),
         F.size("pii_term").cast("long").alias("n_term"),
+        sum((F.size(f"pii_{k}").cast("long") for k in KINDS), F.lit(0)).alias("n_spans"),
     )
