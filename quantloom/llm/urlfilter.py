@@ -7,7 +7,8 @@ share. A host's own blocked pages don't count against its others: rules name pat
 
 Only DataFrame functions are used. Edges are weighed by distinct host pairs, aggregated before the shuffle; rounds are
 written to the shared folder. Null URLs, and those without ``://``, have an empty host and path, fit no rule and are
-allowed. Null html has no links. Repeated rows get equal verdicts; other columns are not read.
+allowed. Null and empty html has no links, long html is searched whole. Repeated rows get equal verdicts, an empty table
+gives no rows. Columns named host, path, rule and verdict are replaced; other columns are not read.
 """
 
 from __future__ import annotations
@@ -97,11 +98,12 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], how: LinkTrust |
     keys = pages.select(host_of(url).alias("host"), path_of(url).alias("path"))
     edges = materialise(host_edges(pages, url_column=url_column, html_column=html_column), "links")
     out = pages.withColumns({"host": host_of(url), "path": path_of(url)})
-    out = out.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
+    out = out.withColumn("_url_fit", fitting_rule(F.col("host"), F.col("path"), rules))
     by_link = F.lit("allow")
     if not edges.isEmpty():
         judged = keys.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
-        bad = materialise(blocked_hosts(judged, edges, how), "blocked").withColumn("by_link", F.lit(True))
-        out = out.join(bounded(bad), "host", "left")
-        by_link = F.when(F.col("by_link"), "block").otherwise("allow")
-    return out.withColumns({"rule": F.col("fit.rule"), "verdict": F.coalesce("fit.verdict", by_link)}).drop("fit", "by_link")
+        bad = materialise(blocked_hosts(judged, edges, how), "blocked").select(F.col("host").alias("_url_host"))
+        out = out.join(bounded(bad), F.col("host") == F.col("_url_host"), "left")
+        by_link = F.when(F.col("_url_host").isNotNull(), "block").otherwise("allow")
+    out = out.withColumns({"rule": F.col("_url_fit.rule"), "verdict": F.coalesce("_url_fit.verdict", by_link)})
+    return out.drop("_url_fit", "_url_host")
