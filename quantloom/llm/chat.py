@@ -6,7 +6,9 @@ character, get an escape character in front, so that a formatted conversation ca
 
 Conversations are dealt out by id and read in order, row after row: a long one is never gathered in memory. Null roles
 and texts are empty; rows with a null id form one conversation; rows of one turn number are ordered by role and text.
-Unknown roles get a general frame and break the order. An empty table gives no rows. Other columns are not read.
+Unknown roles get a general frame and break the order. An empty table gives no rows. Other columns are not read. The
+order of a conversation makes one task read all of it, and all rows without an id, but only one row at a time; long texts
+are formatted one by one.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import map_arrow
+
 
 @dataclass(frozen=True)
 class Template:
@@ -132,7 +136,7 @@ def format_conversations(turns: DataFrame, template: Template | None = None, *,
                 [pa.array(conv, batch.schema.field(0).type), pa.array(number, pa.int64()), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.bool_())], ["conv", "seq", "segment", "loss"]
             )
 
-    return dealt.mapInArrow(run, f"conv {kind}, seq long, segment string, loss boolean").withColumnRenamed("conv", conv_column)
+    return map_arrow(dealt, run, f"conv {kind}, seq long, segment string, loss boolean").withColumnRenamed("conv", conv_column)
 
 
 def conversation_digests(turns: DataFrame, template: Template | None = None, *, conv_column: str = "conv_id", turn_column: str = "turn", role_column: str = "role", text_column: str = "text") -> DataFrame:
@@ -179,4 +183,4 @@ def conversation_digests(turns: DataFrame, template: Template | None = None, *,
             yield flush(done)
 
     schema = f"conv {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
-    return dealt.mapInArrow(run, schema).withColumnRenamed("conv", conv_column)
+    return map_arrow(dealt, run, schema).withColumnRenamed("conv", conv_column)

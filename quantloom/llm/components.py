@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import free, materialise
 
 
 def _star(edges: DataFrame, *, large: bool) -> DataFrame:
@@ -30,7 +30,8 @@ def connected_components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
     current = materialise(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
     for _ in range(rounds):
-        current = materialise(_star(_star(current, large=True), large=False), "edges")
+        last, current = current, materialise(_star(_star(current, large=True), large=False), "edges")
+        free(last)
         # xor and count tell whether anything moved
         now = current.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:

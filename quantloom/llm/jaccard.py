@@ -33,7 +33,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import connected_components
 from .kernels import Texts, chunks, mix, signed
-from .storage import bounded, map_arrow, materialise
+from .storage import bounded, free, map_arrow, materialise
 
 
 @dataclass(frozen=True)
@@ -189,8 +189,10 @@ def _frequent(profile: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
             break
         least = row["level"]
     if least is None:
+        free(counted)
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     often = counted.where(F.col("times") >= least).toPandas()
+    free(counted)
     tokens = often["fp"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     return tokens[order], often["times"].to_numpy(np.int64)[order]
@@ -357,6 +359,7 @@ def jaccard_components(docs: DataFrame, how: JaccardJoin | None = None, *, id_co
     # the links found last are between groups
     between = _of_groups(_of_groups(second.union(same), groups, "u"), groups, "v")
     component = connected_components(between)
+    free(nodes, lists, open_lists, first)
     done = named.join(component.withColumnRenamed("vertex", "group"), "group", "left").select("fp", "n", F.coalesce("component", "group").alias("component_id"))
     out = rows.join(done, ["fp", "n"], "left")
     return out.select(F.col("id").alias(id_column), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("n") == 0, F.col("id"))).alias("component_id"))

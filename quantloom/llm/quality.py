@@ -6,7 +6,8 @@ rest are compiled into one Spark column expression.
 
 Statistics are taken over whole texts in numpy. Null and empty texts have zero statistics and get a score like others.
 Without labelled texts of both kinds the score of every text is the share of label 1, or 0.5 without any. Repeated rows
-are scored alike; columns but the text are not read.
+are scored alike; an empty table gives no rows. Columns but the text are not read; the statistics' own columns are named
+``_stat_...``, and columns by such names or by that of the score are replaced.
 """
 
 from __future__ import annotations
@@ -81,7 +82,7 @@ def statistics(texts: Texts) -> np.ndarray:
 
 def with_statistics(docs: DataFrame, text_column: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The ``keep`` columns (all by default) with one column for each statistic."""
-    docs = docs if keep is None else docs.select(*keep, *([] if text_column in keep else [text_column]))
+    docs = docs.select(*(c for c in docs.columns if not c.startswith(PREFIX))) if keep is None else docs.select(*keep, *([] if text_column in keep else [text_column]))
     names = docs.columns
     out = names if keep is None else keep
     place = names.index(text_column)
@@ -119,8 +120,10 @@ class RuleModel:
 
 @dataclass(frozen=True)
 class RuleFit:
-    #: Labelled texts that the trees are grown on, at most about.
+    #: Labelled texts that the model is fitted on, at most about.
     sample_rows: int = 20_000
+    #: Texts that each tree is grown on, drawn from these with replacement.
+    tree_rows: int = 4_000
     trees: int = 60
     depth: int = 3
     leaf: int = 10
@@ -176,7 +179,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, how: RuleFit | None = None) -> RuleM
     draw = np.random.default_rng(how.seed)
     rules: dict[Rule, None] = {}
     for _ in range(how.trees):
-        _grow(x, y, draw.choice(len(y), min(len(y), 4000), replace=True), (), how, draw, rules)
+        _grow(x, y, draw.choice(len(y), min(len(y), how.tree_rows), replace=True), (), how, draw, rules)
     kept: dict[bytes, Rule] = {}
     for rule in rules:
         held = _holds(x, rule)
@@ -229,3 +232,10 @@ def score_quality(docs: DataFrame, model: RuleModel, *, text_column: str = "text
     """The ``keep`` columns (all by default) with the score."""
     scored = with_statistics(docs, text_column, keep).withColumn(score_column, model.score())
     return scored.drop(*(PREFIX + s for s in STATISTICS))
+
+
+def accepted(docs: DataFrame, model: RuleModel, cut: float, *, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a score of ``cut`` or more, their columns unchanged."""
+    own = docs.withColumnsRenamed({c: f"kept{c}" for c in docs.columns if c.startswith(PREFIX)})
+    kept = with_statistics(own, text_column).where(model.score() >= cut)
+    return kept.select(*(F.col(f"`kept{c}`").alias(c) if c.startswith(PREFIX) else F.col(f"`{c}`") for c in docs.columns))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
@@ -10,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructField, StructType
@@ -19,12 +21,15 @@ BROADCAST_BYTES = 16 << 20
 
 
 _own: dict[str, str] = {}
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder, removed at exit, stands in only where it is unset (local runs)."""
+    """The session's ``spark.checkpoint.dir``. Where it is unset a temporary folder, removed at exit, stands in on a local master only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="quantloom-")
@@ -34,11 +39,41 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends there and its size is known."""
+    """Write ``df`` once to the shared folder and read it back: lineage ends there and its size is known.
+
+    A table that nothing lazy reads any more is removed by ``free``; the others go when the driver's Python ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if not _written:
+        atexit.register(_remove_all)
+    _written[path] = spark
+    out._written_to = path
+    return out
+
+
+def _remove(path: str) -> None:
+    spark = _written.pop(path, None)
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _remove_all() -> None:
+    # the JVM may be gone by now
+    with contextlib.suppress(Py4JError, OSError):
+        for path in [*_written]:
+            _remove(path)
+
+
+def free(*tables: DataFrame) -> None:
+    """Remove tables that ``materialise`` wrote."""
+    for table in tables:
+        _remove(table._written_to)
 
 
 def _bytes_of(field: StructField) -> Column:

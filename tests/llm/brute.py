@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import html as entities
+import math
 import re
+import unicodedata
 from collections import Counter, defaultdict
 from zlib import crc32
 
@@ -64,6 +67,13 @@ def repetition(text):
     return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(hit), n < 10 or 100 * len(hit) > 20 * n
 
 
+def top_ngram(text, n, times=4):
+    """Share of word characters in all occurrences of the n-gram that has most of them."""
+    words = WORD.findall(text or "")
+    found = Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+    return max((k * sum(map(len, g)) for g, k in found.items() if k >= times), default=0) / max(sum(map(len, words)), 1)
+
+
 def shingles(text):
     lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     words = WORD.findall(lower)
@@ -132,3 +142,80 @@ def conversation(turns):
     turns = [(r or "", t or "") for r, t in turns]
     said = "".join(t for r, t in turns if r == "assistant")
     return len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest()
+
+
+def main_text(page):
+    """For pages with an article element: its blocks, without what stands in noisy elements, by regular expressions."""
+    body = re.sub(r"(?is)<!--.*?-->|<(script|style|nav|footer|aside|form)\b.*?</\1>|<div class=\"ad\">.*?</div>", "", page or "")
+    m = re.search(r"(?is)<article>(.*?)(</article>|\Z)", body)
+    if not m:
+        return None
+    blocks = re.split(r"(?i)</?(?:p|h[1-6]|ul|ol|li|div|section|table|tr|td|th|blockquote|pre|figure|figcaption|article)\b[^<>]*>", m[1])
+    out = [" ".join(entities.unescape(re.sub(r"<[^<>]*>", "", re.sub(r"(?i)<br\b[^<>]*>", " ", b))).split()) for b in blocks]
+    return "\n\n".join(x for x in out if x)
+
+
+def tokens(text):
+    """Runs of letters and digits, case-folded, in compatibility form."""
+    text = unicodedata.normalize("NFKC", text or "").casefold()
+    return re.findall(r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]|(?:(?![\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff_])\w)+", text)
+
+
+def tiled(text, passage, k):
+    """Tokens of the passage that greedy tiles of k tokens or more cover."""
+    used_t, used_p = [False] * len(text), [False] * len(passage)
+    places = defaultdict(list)
+    for t, x in enumerate(text):
+        places[x].append(t)
+    while True:
+        best = (k - 1, 0, 0)
+        for p in range(len(passage)):
+            for t in places[passage[p]]:
+                n = 0
+                while p + n < len(passage) and t + n < len(text) and passage[p + n] == text[t + n] and not used_p[p + n] and not used_t[t + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, p, t)
+        if best[0] < k:
+            return sum(used_p)
+        n, p, t = best
+        used_p[p : p + n] = used_t[t : t + n] = [True] * n
+
+
+def contaminated(texts, items, k=5, least=0.5):
+    """texts: id -> text; items: (id, text). id -> (item, coverage) of the most covered passage, of equal ones the smallest."""
+    passages = [(i, tokens(t)) for i, t in items]
+    out = {}
+    for d, text in texts.items():
+        own = tokens(text)
+        grams = {n: {tuple(own[j : j + n]) for j in range(len(own) - n + 1)} for n in range(1, k + 1)}
+        for i, p in passages:
+            n = min(k, len(p))
+            if n and any(tuple(p[j : j + n]) in grams[n] for j in range(len(p) - n + 1)):
+                c = tiled(own, p, n) / len(p)
+                if c >= least and (d not in out or (-c, i) < (-out[d][1], out[d][0])):
+                    out[d] = i, c
+    return out
+
+
+def context_bits(samples, text, order):
+    """Bits of each symbol of ``text`` after what one language's ``samples`` (lists of symbols) held, by the definition; every symbol of ``alphabet`` counts."""
+    samples, alphabet = samples
+    counts = defaultdict(Counter)
+    for s in samples:
+        for i, x in enumerate(s):
+            for k in range(min(i, order) + 1):
+                counts[tuple(s[i - k : i])][x] += 1
+
+    def chance(context, k):
+        below = {x: 1 / len(alphabet) for x in alphabet} if k == 0 else chance(context[1:], k - 1)
+        seen = counts.get(context)
+        if not seen:
+            return below
+        n, distinct = sum(seen.values()), len(seen)
+        if distinct == len(alphabet):
+            return {x: seen[x] / n for x in alphabet}
+        left = sum(below[x] for x in alphabet if x not in seen)
+        return {x: seen[x] / (n + distinct) if x in seen else distinct / (n + distinct) * below[x] / left for x in alphabet}
+
+    return [-math.log2(chance(tuple(text[max(0, i - order) : i]), min(i, order))[x]) for i, x in enumerate(text)]

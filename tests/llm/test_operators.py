@@ -96,6 +96,23 @@ def test_terms_of_rare_entities(spark):
     assert {i for i, v in found.items() if v == ["Zorblatt"]} == {*range(6), len(texts) - 1} and found[6] == ["Quibbly"]
 
 
+def test_secrets_are_found_by_their_information(spark):
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    texts = [f'say token = "{key}"$$$ de', "a" * 30 + "1", "1234567890" * 4, "x-" * 30, f"{key}@mail.example.com", "plain words of a clean text", f"é😀 {key[:20]}, {key[:19]}"]
+    found = {r.doc_id: [(s.value, s.start) for s in r.pii_secret] for r in pii.find_personal_data(frame(spark, texts)).collect()}
+    assert found == {0: [(key, 13)], 1: [], 2: [], 3: [], 4: [], 5: [], 6: [(key[:20], 3)]}
+    clean = {r.doc_id: r.text for r in pii.redact(pii.find_personal_data(frame(spark, texts))).collect()}
+    assert clean[0] == 'say token = "[SECRET]"$$$ de' and clean[5] == texts[5]
+
+
+def test_personal_data_of_odd_tables(spark):
+    docs = frame(spark, ["mail a@b.example now", "word " * 60000 + "a@b.example"]).withColumns({"pii_email": F.lit("clash"), "n_email": F.lit(9), "spans": F.lit("x"), "value": F.lit(1)})
+    rows = pii.span_digest(pii.find_personal_data(docs)).collect()
+    assert [r.n_email for r in rows] == [1, 1]
+    assert pii.find_personal_data(docs.where("false")).count() == 0
+    assert pii.redact(pii.find_personal_data(docs)).columns == [c for c in docs.columns if c != "pii_email"]
+
+
 def test_redaction_of_overlapping_spans(spark):
     texts = ["x +49 10.0.0.1 55 y", None, "n"]
     out = [r.text for r in pii.redact(pii.find_personal_data(frame(spark, texts))).orderBy("doc_id").collect()]
@@ -119,28 +136,42 @@ def test_language_model(spark):
     assert {r.lang_pred for r in langid.identify_language(new, none).collect()} == {"und"}
 
 
-def test_probabilities_sum_to_one():
+def test_code_lengths_match_the_definition():
+    rng = random.Random(12)
+    # 90 symbols, so that no small alphabet is enough
+    texts = {lang: ["".join(chr(rng.choice(range(33, 65)) if rng.random() < 0.3 else 97 + rng.randrange(4 + i)) for _ in range(120)) for _ in range(3)] for i, lang in enumerate("xy")}
+    texts["y"].append("".join(map(chr, [*range(33, 65), *range(91, 127)])))
+    fold = lambda t: langid.FOLD[np.frombuffer(t.encode(), np.uint8)]
+    model = langid.train([(lang, fold(t)) for lang, many in texts.items() for t in many], order=2)
+    known = sorted({x for many in texts.values() for t in many for x in fold(t)})
+    asked = ["abab!ab~z\x7fé", "", "a", texts["x"][0][:50], "zzzz"]
+    data, offsets = np.concatenate([fold(t) for t in asked]), np.cumsum([0] + [len(fold(t)) for t in asked])
+    bits = model.bits(data, offsets)
+    symbol = lambda t: [x if x in known else "new" for x in fold(t)]
+    for i, lang in enumerate("xy"):
+        for t, got in zip(asked, bits[:, i], strict=True):
+            want = brute.context_bits(([symbol(x) for x in texts[lang]], [*known, "new"]), symbol(t), 2)
+            assert got == pytest.approx(sum(want), rel=1e-4, abs=1e-4), (lang, t)
+
+
+def test_long_texts_are_coded_in_parts(monkeypatch):
     rng = np.random.default_rng(0)
-    data = rng.integers(97, 103, 3000).astype(np.uint8)
-    model = langid.train([("x", data), ("y", data[::-1][:500])], order=2)
-    for table in model.cost:
-        assert np.allclose(np.exp2(-table.astype(float)).sum(axis=1), 1, atol=1e-3)
-
-
-def test_code_length_is_the_sum_over_bytes():
-    data = np.frombuffer(b"abracadabra abracadabra", np.uint8)
-    model = langid.train([("x", data)], order=2)
-    text = np.frombuffer(b"abrac?", np.uint8)
-    whole = model.bits(text, np.array([0, 6]))[0, 0]
-    total, s = 0.0, model.symbols[text].astype(int)
-    for i in range(6):
-        k = min(i, 2)
-        context = sum(int(s[i - j]) * model.size ** (j - 1) for j in range(1, k + 1))
-        row = model.nodes[context] if k == 2 and model.nodes[context] else context
-        if k == 2 and not model.nodes[context]:
-            k, row = 1, int(s[i - 1])
-        total += model.cost[k][row, s[i], 0]
-    assert whole == pytest.approx(total, rel=1e-6)
+    data = rng.integers(97, 105, 3000).astype(np.uint8)
+    model = langid.train([("x", data), ("y", data[::-1][:500])])
+    offsets = np.array([0, 0, 700, 701, 701, 2600, 3000])
+    whole = model.bits(data, offsets)
+    monkeypatch.setattr(langid, "PART", 64)
+    assert np.allclose(whole, model.bits(data, offsets), rtol=1e-5) and not whole[0].any()
+    monkeypatch.setattr(langid, "DIRECT", 1)
+    model.direct.clear()
+    assert np.allclose(whole, model.bits(data, offsets), rtol=1e-5)
+
+
+def test_language_of_odd_tables(spark):
+    docs = frame(spark, ["abc " * 60000, "xyz"] + ["abc"] * 3).withColumn("lang", F.lit("one"))
+    model = langid.fit_language_model(docs)
+    assert langid.identify_language(docs.where("false"), model).count() == 0
+    assert {r.lang_pred for r in langid.identify_language(docs, model).collect()} == {"one"}
 
 
 # 3 urls
@@ -155,6 +186,13 @@ def test_rules(spark):
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, best and best[0], best[1] if best else "allow"), u
 
 
+def test_columns_of_pages_stay(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/en/", "x", "mine", "too", 5)], "page_id long, url string, html string, fit string, by_link string, host int")
+    out = urlfilter.judge_urls(pages, queries.URL_RULES)
+    assert out.select("fit", "by_link", "host", "verdict").first() == ("mine", "too", "a.com", "block")
+    assert urlfilter.judge_urls(pages.where("false"), queries.URL_RULES).count() == 0
+
+
 def test_distrust_goes_against_links(spark):
     link = lambda *hosts: "".join(f'<a class=x href="http://{h}/p">t</a>' for h in hosts)
     rows = [(0, "http://bad.com/en/1", ""), (1, "http://farm.org/x", link("bad.com", "bad.com")), (2, "http://hub.org/y", link("good.net")), (3, "http://good.net/de/1", link("friend.org")), (4, "http://friend.org/z", link("good.net"))]
@@ -197,9 +235,45 @@ def test_all_content_lines_stay(html, text):
     assert htmlextract.extract(html) == text
 
 
+ARTICLE = "<h1>Title of it</h1><p>Some long text of the article stands here.</p><p>And more of the same text follows.</p>"
+
+
+@pytest.mark.parametrize("name", ["layout no-sidebar", "page with-header", "post share-enabled", "sidebar-left", "has-menu search", "content"])
+def test_names_of_wrappers_do_not_count(name):
+    want = "Title of it\n\nSome long text of the article stands here.\n\nAnd more of the same text follows."
+    for html in (f"<body><div class='{name}'>{ARTICLE}</div></body>", f"<body><div id='{name}'><div class=x>{ARTICLE}</div><div class='post-comments'><p>{'A long comment of a reader. ' * 30}</p></div></div></body>"):
+        assert htmlextract.extract(html) == want
+
+
+@pytest.mark.parametrize(
+    "noise",
+    [
+        "<div class='site-header'>Name of the site</div>", "<div id=cookieNotice><p>We use cookies on this page, and this notice is long. " + "Text of it. " * 30 + "</p></div>", "<ul class='main-menu'><li>one<li>two</ul>",
+        "<section id=comments><article class=comment><p>" + "What a reader says here. " * 20 + "</p></article></section>", "<aside>side</aside>", "<div role=navigation>go</div>", "<div class='ad-banner'>buy</div>",
+    ],
+)
+def test_noise_goes(noise):
+    want = "Title of it\n\nSome long text of the article stands here.\n\nAnd more of the same text follows."
+    assert htmlextract.extract(f"<body>{noise}<div class=post>{ARTICLE}</div></body>") == want
+    assert htmlextract.extract(f"<body><article>{ARTICLE}</article>{noise}</body>") == want
+
+
+def test_deep_and_long_pages_take_linear_time():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        began = time.perf_counter()
+        assert htmlextract.extract("<div>" * n + "text of the page" + "</div>" * n) == "text of the page"
+        assert htmlextract.extract("<b>" * n + "<p>x</p></i>" * n).count("x") == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0]
+
+
 def test_extraction_frame(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a  b</p>"), (1, "u", "<p>a  b</p>"), (2, None, None)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert [tuple(r) for r in htmlextract.extract_main_text(pages, keep=("url",)).orderBy("page_id").collect()] == [(1, "u", "a b"), (1, "u", "a b"), (2, None, "")]
+    assert htmlextract.extract_main_text(pages.where("false")).count() == 0
 
 
 # 5 decontamination
@@ -223,10 +297,57 @@ def test_blocks_of_passages_give_the_same(spark):
     bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
     docs = frame(spark, [f"{words(rng, 20)} {t}" for t in items])
     one = decontaminate.contaminated(docs, bench).collect()
-    many = decontaminate.contaminated(docs, bench, decontaminate.Tiling(block_items=3)).collect()
+    many = decontaminate.contaminated(docs, bench, decontaminate.Tiling(block_bytes=600)).collect()
     assert sorted(map(tuple, one)) == sorted(map(tuple, many)) and len(one) == 12
 
 
+def test_tokens_of_all_scripts(spark):
+    quoted, russian, chinese = "he said the quick brown fox is here again", "съешь ещё этих мягких французских булок да выпей чаю", "天地玄黄宇宙洪荒日月盈昃"
+    bench = spark.createDataFrame([(1, quoted), (2, russian), (3, chinese), (3, chinese), (4, "café résumé naïve façade élan")], "item_id int, text string").withColumn("coverage", F.lit("clash"))
+    texts = ["“He said—the ‘quick’ brown\u00a0fox is here again”…", russian.upper(), f"在{chinese}中", "Cafe\u0301 RE\u0301SUME\u0301 nai\u0308ve fac\u0327ade e\u0301lan", "nothing of it"]
+    found = {(r.doc_id, r.item_id, r.coverage) for r in decontaminate.contaminated(frame(spark, texts), bench).collect()}
+    assert found == {(0, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0), (3, 4, 1.0)}
+
+
+@pytest.mark.parametrize("common", [0, 3, 64])
+def test_whole_operator_matches_brute_force(spark, common):
+    rng = random.Random(common)
+    opening, licence = words(rng, 6, 10**6), words(rng, 30, 10**6)
+    items = [f"{opening} {words(rng, rng.randrange(1, 12), 10**6)}" for _ in range(12)] + [f"{licence} {words(rng, rng.randrange(40), 10**6)}" for _ in range(12)] + [words(rng, 30, 6) for _ in range(4)]
+    items += [items[0], "two words", "", None]
+    texts = [rng.choice([opening, licence, " ".join(licence.split()[:18]), rng.choice([x for x in items if x]), words(rng, 20, 6)]) + " " + words(rng, rng.randrange(30), 10**6) + " " + rng.choice(items[:26]) [: rng.randrange(90)] for _ in range(60)]
+    texts += [None, "", "so two words"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = brute.contaminated(dict(enumerate(texts)), list(enumerate(items)))
+    got = {r.doc_id: (r.item_id, r.coverage) for r in decontaminate.contaminated(frame(spark, texts), bench, decontaminate.Tiling(common=common)).collect()}
+    # where common parts alone are met the passage is another one that is covered as much
+    assert {i: c for i, (_, c) in got.items()} == pytest.approx({i: c for i, (_, c) in want.items()}) and len(want) > 20
+    assert all(brute.tiled(brute.tokens(texts[i]), p := brute.tokens(items[x]), min(5, len(p))) / len(p) == pytest.approx(c) for i, (x, c) in got.items())
+    small = decontaminate.Tiling(common=common, block_bytes=600)
+    assert {r.doc_id: r.coverage for r in decontaminate.contaminated(frame(spark, texts), bench, small).collect()} == pytest.approx({i: c for i, (_, c) in want.items()})
+    kept = decontaminate.without_contaminated(frame(spark, texts), bench, small)
+    assert {r.doc_id for r in kept.collect()} == {*range(len(texts))} - {*want} and kept.columns == frame(spark, texts).columns
+
+
+def test_common_openings_are_not_expanded(spark):
+    import time
+
+    rng = random.Random(5)
+    opening = words(rng, 5, 10**6)
+    bench = spark.createDataFrame([(i, f"{opening} {words(rng, 4, 10**6)}") for i in range(3000)], "item_id long, text string")
+    docs = frame(spark, [f"{opening} " * 200, "a b c"])
+    began = time.perf_counter()
+    assert [r.doc_id for r in decontaminate.contaminated(docs, bench).collect()] == [0]
+    assert time.perf_counter() - began < 20
+
+
+def test_decontamination_of_odd_rows(spark):
+    bench = spark.createDataFrame([(1, "one two three four five six"), (None, "un deux trois quatre cinq six")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "one two three four five six"), (1, "one two three four five six"), (None, "un deux trois quatre cinq six"), (2, "word " * 60000)], "doc_id long, text string")
+    assert {tuple(r) for r in decontaminate.contaminated(docs, bench).collect()} == {(1, 1, 1.0), (None, None, 1.0)}
+    assert decontaminate.contaminated(docs.where("false"), bench).count() == 0
+
+
 def test_greedy_tiling_matches_brute_force():
     rng = np.random.default_rng(5)
 
@@ -302,6 +423,33 @@ def test_mix_meets_targets(spark, rows):
     assert mixing.allocate(docs.where("false")).count() == 0
 
 
+def test_long_documents_are_settled_first(spark):
+    rng = random.Random(13)
+    texts = [words(rng, n) for n in [5184, 900, *([40] * 60)]] + [words(rng, rng.randrange(1, 80)) for _ in range(150)] + [words(rng, 3000), words(rng, 7)]
+    docs = frame(spark, texts, ["a"] * 62 + ["b"] * 150 + ["c"] * 2)
+    out = mixing.allocate(docs, mixing.Mixture(bucket_rows=40)).toPandas()
+    sums = out.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+    # c has a document of 3000 words and one of 7, so that 3000 is as near to its target as it can come
+    assert (abs(sums.target - sums.taken)[["a", "b"]] <= 0.01 * sums.target[["a", "b"]]).all() and sums.taken["c"] == 3000, sums
+    assert (out.taken <= 3 * out["size"]).all()
+
+
+def test_settling_keeps_chances():
+    rng = random.Random(14)
+    first = [mixing.settle([50, 30], 44.0, 60, 3, rng) for _ in range(4000)]
+    assert np.mean([c[0] for c, _ in first]) == pytest.approx(44 / 140, abs=0.03) and np.mean([c[1] for c, _ in first]) == pytest.approx(44 / 140, abs=0.03)
+    assert all(50 * a + 30 * b + left == pytest.approx(44) and 0 <= left <= 180 for (a, b), left in first)
+
+
+def test_mixing_takes_what_was_drawn(spark):
+    docs = spark.createDataFrame([(None, "a b c", "s", 5)] * 5 + [(1, "a b c", "s", 6)] * 4 + [(2, "x y", None, 7), (3, "z " * 40000, "t", 8), (4, None, "t", 9)], "doc_id long, text string, source string, target int").withColumns({"size": F.lit("clash"), "_size": F.lit(1), "i": F.lit(2)})
+    drawn = mixing.allocate(docs)
+    mixed = mixing.mix(docs)
+    assert mixed.agg(F.sum("taken")).first()[0] == drawn.agg(F.sum("taken")).first()[0]
+    assert all(r.copies >= 1 and r.taken == r.size * r.copies for r in mixed.collect())
+    assert mixing.mix(docs.where("false")).count() == 0
+
+
 def test_pivotal_keeps_sums_and_chances():
     rng = random.Random(8)
     hits = np.zeros(6)
@@ -327,6 +475,18 @@ def test_repetition(spark):
         assert not (r.base_failed and r.kept)
 
 
+def test_short_phrases_that_come_back(spark):
+    rng = random.Random(15)
+    phrase = ["buy", "this", "now"]
+    spam = " ".join(" ".join([*phrase, f"x{rng.randrange(10**6)}"]) for _ in range(12))
+    texts = [spam, words(rng, 200, 10**6), " ".join([*phrase, words(rng, 20, 10**6)] * 1), None, "a b a b a b", "é ü " + words(rng, 9, 5)]
+    out = repetition.repetition_rules(frame(spark, texts)).orderBy("doc_id").collect()
+    for r, t in zip(out, texts, strict=True):
+        assert r.top_coverage == pytest.approx([brute.top_ngram(t, n) for n in (2, 3, 4)]), t
+    assert not out[0].base_failed and not out[0].kept and out[1].kept and out[2].kept
+    assert repetition.repetition_rules(frame(spark, texts).where("false")).count() == 0
+
+
 def test_line_coverage(spark):
     line = "alpha beta gamma"
     rng = random.Random(9)
