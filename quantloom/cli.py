@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions.core import DATE, SYMBOL
 from .operators import panel as P
-from .plans import catalog, debate, library, scoring
+from .plans import alpha, catalog, debate, library, scoring
 from .plans.expression import evaluate
 from .sources import market, sinks
 
@@ -46,14 +46,34 @@ def prepare(spark: SparkSession, config: dict):
     return source, fields, market.load_market(spark, path, columns=there, start=span[0], end=span[1])
 
 
+def library_paths(config: dict) -> tuple[list[str], str]:
+    """Libraries that a search begins with, and the one that it adds to: configured, else named by the environment, else in the working folder."""
+    own = config.get("alpha_library_path") or sinks.first_setting("QUANTLOOM_LIBRARY", dotenv=".env") or "factor_library.json"
+    listed = config.get("few_shot_library_paths") or []
+    if not isinstance(listed, list):
+        raise ValueError("few_shot_library_paths must be a list")
+    wanted = config.get("few_shot_from_library", bool(config.get("use_alpha_library") or listed))
+    return ([*map(str, listed)] or [str(own)] if wanted else []), str(own)
+
+
 def search(spark: SparkSession, config: dict, out: Path, proposals: list[dict] | None = None) -> dict:
-    """Run the search with replayed proposals and write its three result files."""
+    """Run the search with replayed proposals, write its three result files, and add its factors to the library if one is used."""
     _, fields, panel = prepare(spark, config)
     label = config.get("label_config") or {"preprocess": "cs_zscore"}
     labels = P.labels(panel, label.get("field", "close"), int(label.get("span", 1)), label.get("preprocess")).persist()
     samples = scoring.Samples(tuple(config["insample_time_range"]), tuple(config["outsample_time_range"]))
-    factors = debate.FactorSet(panel.persist(), labels, samples, mode=scoring.evaluation_mode(config.get("evaluation_mode"), config.get("key_metric")))
-    result = debate.run(factors, [debate.Replay(proposals or [])], rounds=int(config.get("debate_max_rounds", 4)))
+    mode = scoring.evaluation_mode(config.get("evaluation_mode"), config.get("key_metric"))
+    lineage = {"factor_mode": fields.mode, "market_data_manifest_path": config.get("market_data_manifest_path"), "market_data_manifest_sha256": fields.manifest_sha256}
+    limits = {k: float(config[c]) for k, c in (("seed_stop", "seed_metric_threshold"), ("icir", "icir_threshold"), ("rank_icir", "rank_icir_threshold"), ("similar", "factor_correlation_threshold")) if config.get(c) is not None}
+    factors = debate.FactorSet(panel.persist(), labels, samples, debate.Thresholds(**limits), mode=mode, symbol=config.get("demo_symbol"), lineage=lineage)
+    read, own = library_paths(config)
+    known = [x for path in read if Path(path).is_file() for x in library.read_json(path)]
+    result = debate.run(factors, [debate.Replay(proposals)] if proposals else [], rounds=int(config.get("debate_max_rounds", 4)), seeds=debate.seeds_of(config), library=known)
+    best = result["best"]
+    if best is not None:
+        result["best"] = alpha.summary(factors.backtest(best["name"], best["code"], best.get("arguments")) | {"status": best["status"]})
+    if config.get("use_alpha_library"):
+        result["library_update"] = library.upsert(spark, own, result["accepted_factors"], metadata=lineage, key_metric=scoring.KEY_METRIC[mode])
     result |= {"catalog": fields.as_dict(), "metric_time_ranges": ranges(config)}
     for name in ("debate_rounds", "accepted_factors"):
         sinks.write_atomically(out / f"{name}.json", result[name])
@@ -89,15 +109,15 @@ def main(arguments: list[str] | None = None) -> int:
     keep.add_argument("--min-o-hybrid-icir", type=float, default=0.2)
     keep.add_argument("--max-decay", type=float)
     keep.add_argument("--allow-inconsistent-direction", action="store_true")
-    alpha = commands.add_parser("evaluate", help="evaluate an expression over market data into CSV")
-    alpha.add_argument("--data", required=True)
-    alpha.add_argument("--expression", required=True)
-    alpha.add_argument("--output", required=True)
+    one = commands.add_parser("evaluate", help="evaluate an expression over market data into CSV")
+    one.add_argument("--data", required=True)
+    one.add_argument("--expression", required=True)
+    one.add_argument("--output", required=True)
     args = parser.parse_args(arguments)
     spark = session()
     if args.command == "search":
         config = sinks.read_json(args.input)
-        for key in ("market_data_path", "market_data_csv_path", "market_data_manifest_path"):
+        for key in ("market_data_path", "market_data_csv_path", "market_data_manifest_path", "alpha_library_path", "seed_factors_json_path", "seed_alphas_json_path"):
             if config.get(key):
                 config[key] = resolve(config[key], args.input)
         out = sinks.output_dir(config, args.output)

@@ -162,6 +162,41 @@ def correlation(x: Column, y: Column, n: int, min_periods: int = 2) -> Column:
 
 #: Below this a product of standard deviations counts as zero.
 TINY = 1e-12
+#: Windows of this many rows or more take differences of running sums, whose cost doesn't grow with the window.
+LONG = 30
+#: A variance below this share of the mean square so far is what differences of sums leave of a constant.
+CANCELLED = 1e-11
+
+
+def centred(x: Column, y: Column) -> tuple[Column, Column]:
+    """Both of a pair less their first values of the symbol, which keeps running sums small; nothing ahead is used."""
+    past = along().rowsBetween(Window.unboundedPreceding, 0)
+    a, b = both(x, y, x), both(x, y, y)
+    return a - F.first(a, ignorenulls=True).over(past), b - F.first(b, ignorenulls=True).over(past)
+
+
+def _recent(x: Column, n: int) -> Column:
+    """Sum of the last n rows as the difference of two running sums."""
+    upto = lambda k: along().rowsBetween(Window.unboundedPreceding, k)
+    return F.coalesce(F.sum(x).over(upto(0)), F.lit(0.0)) - F.coalesce(F.sum(x).over(upto(-n)), F.lit(0.0))
+
+
+def long_moments(a: Column, b: Column, n: int, min_periods: int, *, correlation: bool) -> Column:
+    """Rolling covariance or correlation of a ``centred`` pair."""
+    past = along().rowsBetween(Window.unboundedPreceding, 0)
+    count = _recent(F.when(a.isNotNull(), 1.0), n)
+    mean_a, mean_b = _recent(a, n) / count, _recent(b, n) / count
+    together = _recent(a * b, n) - count * mean_a * mean_b
+    enough = count >= max(2, min_periods)
+    if not correlation:
+        return F.when(enough, together / (count - 1))
+
+    def spread(x: Column, mean: Column) -> Column:
+        squares = _recent(x * x, n) - count * mean * mean
+        return F.when(squares > CANCELLED * count * F.avg(x * x).over(past), squares)
+
+    size = F.sqrt(spread(a, mean_a)) * F.sqrt(spread(b, mean_b))
+    return F.when(enough, F.try_divide(together, F.when(size > TINY * (count - 1), size)))
 
 
 # element by element

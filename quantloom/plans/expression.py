@@ -277,6 +277,9 @@ class Stages:
             self.frame = ewm_mean(self.frame, self.known[node.args[0]], args[1], name)
             self.known[node] = name
             return F.col(name), False
+        if node.op in ("correlation", "covariance") and args[2] >= core.LONG:
+            pair = [self.staged(Call("centred", (*node.args[:2], Number(i))), c) for i, c in enumerate(core.centred(*args[:2]))]
+            return core.long_moments(*pair, args[2], args[3] if len(args) > 3 else 2, correlation=node.op == "correlation"), True
         return own.build(*args), inner or own.window
 
     def add(self, name: str, node: Node) -> None:

@@ -1,16 +1,18 @@
 """Factor functions written in Python on a (time, symbol) frame.
 
 Only a whitelist of syntax is accepted, look-ahead is refused, and only the fields that the code names are passed to it.
-Three ways to run it, by what it groups on: natively (an expression of the same meaning), per symbol, or per date; code
-that needs several symbols and dates at once runs on the whole panel in one task, as a last resort. Python workers are
-no security boundary: the whitelist stops mistakes, not attackers.
+It runs for each symbol, or for each date, if every one of its operations is shown to stay within one: they are
+element by element, or on a grouping by that level. Other code needs several symbols and dates at once and runs on the
+whole panel in one task, up to ``MOST_WHOLE_ROWS`` rows; beyond it is refused. Python workers are no security boundary:
+the whitelist stops mistakes, not attackers.
 """
 
 from __future__ import annotations
 
 import ast
 import math
-import signal
+import threading
+import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
 
@@ -26,6 +28,8 @@ from .expression import ExpressionError
 BUILTINS = {n: __builtins__[n] if isinstance(__builtins__, dict) else getattr(__builtins__, n) for n in ("abs", "all", "any", "bool", "dict", "enumerate", "float", "int", "len", "list", "max", "min", "range", "round", "set", "sorted", "sum", "tuple", "zip")}
 _FORBIDDEN = (ast.Import, ast.ImportFrom, ast.Global, ast.Nonlocal, ast.AsyncFunctionDef, ast.Await, ast.Yield, ast.YieldFrom, ast.ClassDef, ast.With, ast.Try, ast.Delete, ast.Raise)
 MOST_LINES = 80
+#: Rows of a panel that code may run on in one task.
+MOST_WHOLE_ROWS = 5_000_000
 MODES = ("ohlcv", "fundamental", "hybrid", "any")
 
 
@@ -38,6 +42,11 @@ def _number(node: ast.AST, names: dict[str, float]) -> float | None:
     return names.get(node.id) if isinstance(node, ast.Name) else None
 
 
+def is_code(text: str) -> bool:
+    """Whether a factor's text is a function and not an expression."""
+    return "def " in text
+
+
 def functions_of(code: str) -> list[str]:
     return [n.name for n in ast.parse(code).body if isinstance(n, ast.FunctionDef)]
 
@@ -63,6 +72,22 @@ def referenced(code: str) -> set[str]:
     return out
 
 
+def _computed_fields(tree: ast.Module) -> bool:
+    """Whether a function takes a field of its first parameter, the data, by anything but literal text."""
+    frames = {f.args.args[0].arg for f in tree.body if isinstance(f, ast.FunctionDef) and f.args.args}
+    of_data = lambda x: isinstance(x, ast.Name) and x.id in frames
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Subscript) and of_data(node.value):
+            asked = node.slice.elts if isinstance(node.slice, ast.List | ast.Tuple) else [node.slice]
+        elif isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and node.func.attr == "get" and of_data(node.func.value):
+            asked = node.args[:1]
+        else:
+            continue
+        if not all(isinstance(x, ast.Constant) and isinstance(x.value, str) for x in asked):
+            return True
+    return False
+
+
 def analyse(code: str, allowed: set[str], *, arguments: dict | None = None, mode: str = "any", market: set[str] | None = None) -> tuple[set[str], list[tuple[str, str]]]:
     """Fields that the code reads and its violations (kind, message): EXEC, IMPORT, LINE, KEY, FUTURE."""
     found: list[tuple[str, str]] = []
@@ -106,6 +131,8 @@ def analyse(code: str, allowed: set[str], *, arguments: dict | None = None, mode
         how = next((words[k].value for k in ("method", "limit_direction") if isinstance(words.get(k), ast.Constant)), None)
         if attr == "fillna" and how in ("bfill", "backfill") or attr == "interpolate" and how in ("backward", "both"):
             found.append(("FUTURE", f"{attr} looks ahead"))
+    if _computed_fields(tree):
+        found.append(("KEY", "fields of the data are named by literal text"))
     fields = referenced(code) - {"time", "symbol"}
     if unknown := sorted(fields - allowed):
         found.append(("KEY", f"unknown fields {unknown}"))
@@ -173,40 +200,107 @@ def run_per_date(panel: DataFrame, code: str, *, entry: str | None = None, argum
 
 
 def run_whole(panel: DataFrame, code: str, *, entry: str | None = None, arguments: dict | None = None) -> DataFrame:
-    """(date, symbol, value) of code that needs the whole panel, in one task: for small panels only."""
+    """(date, symbol, value) of code that needs the whole panel, in one task; a panel too large for one is refused."""
+    if panel.limit(MOST_WHOLE_ROWS + 1).count() > MOST_WHOLE_ROWS:
+        raise ExpressionError("EXEC", f"the code needs the whole panel at once, which has more than {MOST_WHOLE_ROWS} rows")
     return _run(panel, code, [], entry, arguments)
 
 
-def levels_of(code: str) -> set[str]:
-    """Index levels that the code groups on."""
-    out = set()
-    for node in ast.walk(ast.parse(code)):
-        if isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and node.func.attr == "groupby":
-            for k in node.keywords:
-                if k.arg == "level" and isinstance(k.value, ast.Constant):
-                    out.add({0: "time", 1: SYMBOL}.get(k.value.value, str(k.value.value)))
-    return out
+#: Methods that give each row from the same row of their operands, whatever other rows there are.
+_BY_ROW = frozenset("abs add sub mul div truediv pow neg clip where mask fillna replace astype copy rename isna notna isnull notnull round between eq ne lt le gt ge get log log1p exp sqrt sign tanh maximum minimum isfinite isnan power".split())
+#: Methods of a grouping that keep to its groups.
+_OF_GROUPS = frozenset("shift diff pct_change rolling ewm expanding transform cumsum cumprod cummax cummin rank ffill mean std sum max min median var count corr cov apply first last quantile skew kurt".split())
+#: Ends of a chain that take the group's level from the index again.
+_TIDY = frozenset("reset_index droplevel reorder_levels sort_index".split())
+
+
+def _level(call: ast.Call) -> str | None:
+    """The index level of a ``groupby``; None for any other grouping."""
+    asked = next((k.value for k in call.keywords if k.arg == "level"), None) or (call.args[0] if call.args else None)
+    if any(k.arg not in ("level", "group_keys", "sort") for k in call.keywords) or not isinstance(asked, ast.Constant):
+        return None
+    return {0: "time", 1: SYMBOL, "time": "time", SYMBOL: SYMBOL}.get(asked.value)
+
+
+def within(code: str) -> str | None:
+    """The level, ``symbol`` or ``time``, within whose groups every operation of the code is shown to stay; else None.
+
+    Every method call must be one that goes by row, or stand in a chain that begins with a grouping by the one level;
+    code without a grouping that only goes by row stays within symbols.
+    Functions passed to ``apply`` and ``transform`` see one group only, so that anything is fine in them.
+    """
+    tree = ast.parse(code)
+    groupings = [n for n in ast.walk(tree) if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and n.func.attr == "groupby"]
+    levels = {_level(c) for c in groupings} or {SYMBOL}
+    if len(levels) != 1 or None in levels or len(functions_of(code)) != 1:
+        return None
+    inside = {id(x) for n in ast.walk(tree) if isinstance(n, ast.Lambda) for x in ast.walk(n)}
+
+    def grouped(x: ast.AST) -> bool:
+        """Whether a chain of calls, attributes and subscripts begins with a grouping."""
+        while isinstance(x, ast.Call | ast.Attribute | ast.Subscript):
+            if isinstance(x, ast.Call) and isinstance(x.func, ast.Attribute) and x.func.attr == "groupby":
+                return True
+            x = x.func if isinstance(x, ast.Call) else x.value
+        return isinstance(x, ast.Name) and x.id in names
+
+    # names of groupings, like g = close.groupby(level="symbol")
+    names: set[str] = set()
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Assign) and isinstance(node.value, ast.Call) and isinstance(node.value.func, ast.Attribute) and node.value.func.attr == "groupby":
+            names |= {t.id for t in node.targets if isinstance(t, ast.Name)}
+    plain = {"abs", "float", "int", "round"}
+    totals = {"mean", "std", "sum", "max", "min", "median", "var", "count", "first", "last", "quantile", "skew", "kurt", "corr", "cov"}
+    direct = lambda x: isinstance(x, ast.Name) and x.id in names or isinstance(x, ast.Call) and isinstance(x.func, ast.Attribute) and x.func.attr == "groupby" or isinstance(x, ast.Subscript) and direct(x.value)
+    for node in ast.walk(tree):
+        if id(node) in inside:
+            continue
+        if isinstance(node, ast.Slice | ast.For | ast.While | ast.ListComp | ast.SetComp | ast.DictComp | ast.GeneratorExp):
+            return None
+        if isinstance(node, ast.Attribute) and node.attr in ("iloc", "loc", "iat", "at", "values", "index", "T", "shape", "size"):
+            return None
+        if not isinstance(node, ast.Call):
+            continue
+        if isinstance(node.func, ast.Name):
+            if node.func.id not in plain:
+                return None
+        elif isinstance(node.func, ast.Attribute) and node.func.attr != "groupby":
+            if not (node.func.attr in _BY_ROW or node.func.attr in _OF_GROUPS | _TIDY and grouped(node.func.value)):
+                return None
+            # one number for each group doesn't stand beside rows again
+            if node.func.attr in totals and direct(node.func.value):
+                return None
+    return levels.pop()
 
 
 def run(panel: DataFrame, code: str, *, entry: str | None = None, arguments: dict | None = None) -> DataFrame:
-    """By the levels that the code groups on: per symbol, per date, or whole."""
-    levels = levels_of(code)
-    if levels == {SYMBOL}:
-        return run_per_symbol(panel, code, entry=entry, arguments=arguments)
-    return (run_per_date if levels == {"time"} else run_whole)(panel, code, entry=entry, arguments=arguments)
+    """Per symbol or per date where the code is shown to stay within one, else on the whole panel."""
+    how = {SYMBOL: run_per_symbol, "time": run_per_date, None: run_whole}[within(code)]
+    return how(panel, code, entry=entry, arguments=arguments)
 
 
 @contextmanager
-def time_limit(seconds: float):
-    """TimeoutError in the main thread after so many seconds."""
-
-    def stop(*_):
-        raise TimeoutError(f"not done in {seconds:g} s")
-
-    before = signal.signal(signal.SIGALRM, stop)
-    signal.setitimer(signal.ITIMER_REAL, seconds)
+def job_limit(spark, seconds: float):
+    """TimeoutError if the jobs begun inside take longer; they are cancelled."""
+    context, group, over = spark.sparkContext, f"limit-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        over.set()
+        context.cancelJobGroup(group)
+
+    before = context.getLocalProperty("spark.jobGroup.id")
+    context.setJobGroup(group, f"at most {seconds:g} s", interruptOnCancel=True)
+    timer = threading.Timer(seconds, stop)
+    timer.daemon = True
+    timer.start()
     try:
         yield
+        if over.is_set():
+            raise TimeoutError(f"not done in {seconds:g} s")
+    except Exception as e:
+        if over.is_set() and not isinstance(e, TimeoutError):
+            raise TimeoutError(f"not done in {seconds:g} s") from e
+        raise
     finally:
-        signal.setitimer(signal.ITIMER_REAL, 0)
-        signal.signal(signal.SIGALRM, before)
+        timer.cancel()
+        context.setLocalProperty("spark.jobGroup.id", before)

@@ -11,6 +11,7 @@ from ..functions import core
 from ..operators import panel as P
 from ..operators import pit
 from ..plans import factors, scoring
+from ..plans.debate import similar_series
 from ..plans.expression import evaluate
 from .sql import expressions_sql
 from .tables import EV_DENSE_SQL, EV_SQL, LI_SQL, ev_dense, ev_panel, li_panel, read
@@ -191,17 +192,23 @@ put(
     "alpha_wide", lambda spark, d: factors.compute(li_panel(spark, d), _WIDE).select("date", "symbol", *(rounded(n).alias(f"alpha_{i:03d}_{n}") for i, n in enumerate(_WIDE))),
     expressions_sql(LI_SQL, {f"alpha_{i:03d}_{n}": factors.formula(n) for i, n in enumerate(_WIDE)}),
 )
-_KIN = ["volume_spike", "amplitude", "close_location_volume_pressure"]
+#: A new factor and the accepted ones; ranks across symbols are taken over the whole panel before the demo symbol's series.
+_NEW = {"new": "rank(delta(close, 1))"}
+_KIN = {"rank_change": "rank(pct_change(close, 1)) * 2", "location": factors.formula("close_location_volume_pressure"), "change": "delta(close, 1)", "rank_volume": "rank(volume)", "opposite": "-rank(delta(close, 1))"}
+_SIMILAR = 0.05
 
 
 def _similar(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.correlations(factors.compute(li_panel(spark, d), _KIN), _KIN).select("a", "b", rounded("corr").alias("corr"), "pairs")
+    panel = li_panel(spark, d)
+    first = F.broadcast(panel.agg(F.min("symbol").alias("symbol")))
+    series = evaluate(panel, _NEW | _KIN).join(first, "symbol", "left_semi")
+    return similar_series(series, "new", [*_KIN], _SIMILAR).select("factor", rounded("corr").alias("corr"), "pairs")
 
 
 def _similar_sql() -> str:
-    inner = expressions_sql(LI_SQL, {n: factors.formula(n) for n in _KIN}, None)
-    pair = lambda a, b: f"SELECT '{a}' AS a, '{b}' AS b, round(covar_samp(x, y) / (stddev_samp(x) * stddev_samp(y)), 6) + 0.0 AS corr, count(*) AS pairs FROM (SELECT {a} AS x, {b} AS y FROM f WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
-    return f"WITH f AS ({inner}) " + " UNION ALL ".join(pair(a, b) for i, a in enumerate(_KIN) for b in _KIN[i + 1 :])
+    inner = expressions_sql(LI_SQL, _NEW | _KIN, None)
+    one = lambda n: f"SELECT '{n}' AS factor, covar_samp(x, y) / nullif(stddev_samp(x) * stddev_samp(y), 0) AS c, count(*) AS pairs FROM (SELECT new AS x, {n} AS y FROM own WHERE new IS NOT NULL AND {n} IS NOT NULL)"
+    return f"WITH f AS ({inner}), own AS (SELECT * FROM f WHERE symbol = (SELECT min(symbol) FROM f)) SELECT factor, round(c, 6) + 0.0 AS corr, pairs FROM ({' UNION ALL '.join(map(one, _KIN))}) WHERE c > {_SIMILAR}"
 
 
 put("sim_retrieval", _similar, _similar_sql())

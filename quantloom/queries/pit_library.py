@@ -201,4 +201,27 @@ put("udf_symbol_map", lambda s, d: factor_code.run_per_symbol(li_panel(s, d), _S
     f"SELECT date, symbol, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 4) + 0.0 AS value FROM ({expressions_sql(LI_SQL, {'value': factors.formula('example_close_vwap_gap')}, None)})")
 put("udf_panel_map", lambda s, d: factor_code.run_per_date(ev_panel(s, d), _PANEL_CODE).select("date", "symbol", rounded(F.col("value").cast("double"), 3).alias("value")),
     f"WITH {EV_SQL} SELECT date, symbol, round(CAST(CAST(close - open - avg(close - open) OVER (PARTITION BY date) AS FLOAT) AS DOUBLE), 3) + 0.0 AS value FROM ev")
-put("expr_fields", lambda s, d: s.createDataFrame([(n, ",".join(sorted(expression.fields_of(expression.parse(factors.formula(n))))), expression.longest_look_back(expression.parse(factors.formula(n)))) for n in factors.FACTORS], "factor string, fields string, look_back int"))
+_FIELDS = ("open", "high", "low", "close", "volume", "vwap")
+# The fields that each shipped factor reads and how many rows it looks back at most.
+_FACTOR_FIELDS = """
+('congestion_effort_result', 'close,high,low,open,volume', 23), ('vwap_dislocation_volume_reversal', 'close,high,low,volume,vwap', 20), ('churn_inefficiency', 'close,volume', 30),
+('gap_rejection_volume', 'close,open,volume', 25), ('close_location_volume_pressure', 'close,high,low,volume', 23), ('compressed_breakout_quality', 'close,high,low,volume', 24),
+('persistent_range_volume_trend', 'close,high,low,volume', 23), ('turnover_displacement_friction', 'close,high,low,volume', 23), ('intraday_reversal_liquidity', 'close,high,low,open,volume', 23),
+('conviction_instability_turnover', 'close,high,low,open,volume', 23), ('example_close_vwap_gap', 'close,vwap', 5), ('macd', 'close', 35), ('price_volume_correlation', 'close,volume', 100), ('volatility', 'close', 31),
+('volume_spike', 'volume', 10), ('price_drawdown', 'close', 60), ('amplitude', 'high,low', 10), ('dry_run_hybrid_value_momentum', 'close,fundamental', 5), ('dry_run_close_to_vwap_gap', 'close,vwap', 5)
+"""
+
+
+def _expr_fields(spark: SparkSession, d: str) -> DataFrame:
+    """The fields that each factor reads, how far it looks back, and how many values of the field the panel has."""
+    trees = {n: expression.parse(factors.formula(n)) for n in factors.FACTORS}
+    read_by = spark.createDataFrame([(n, f, expression.longest_look_back(t)) for n, t in trees.items() for f in sorted(expression.fields_of(t))], "factor string, field string, look_back int")
+    counts = li_panel(spark, d).agg(*(F.count(f).alias(f) for f in _FIELDS)).select(F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("values")) for f in _FIELDS))))
+    return read_by.join(F.broadcast(counts), "field", "left").select("factor", "field", "look_back", F.coalesce("values", F.lit(0)).alias("values"))
+
+
+put(
+    "expr_fields", _expr_fields,
+    f"WITH {LI_SQL}, c AS ({' UNION ALL '.join(f"SELECT '{f}' AS field, count({f}) AS n FROM p" for f in _FIELDS)}), v AS (SELECT factor, unnest(string_split(fields, ',')) AS field, look_back FROM (VALUES {_FACTOR_FIELDS}) t(factor, fields, look_back)) "
+    "SELECT factor, field, look_back, coalesce(n, 0) AS values FROM v LEFT JOIN c USING (field)",
+)

@@ -31,13 +31,16 @@ def _is_csv(path: str) -> bool:
     return path.rstrip("/").lower().endswith((".csv", ".csv.gz"))
 
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
-    """CSV files by their header, all as text; Parquet files and Hive-partitioned folders by their schema."""
+def scan(spark: SparkSession, path: str, *, merge_schema: bool = False) -> DataFrame:
+    """CSV files by their header, all as text; Parquet files and Hive-partitioned folders by their schema.
+
+    ``merge_schema`` opens the footers of all files, for tables whose files differ in columns.
+    """
     if _is_csv(path):
         return spark.read.option("header", True).csv(path)
     if "." in path.rstrip("/").rsplit("/", 1)[-1] and not path.rstrip("/").lower().endswith((".parquet", ".pq")) and "=" not in path:
         raise ValueError(f"{path} is neither CSV nor Parquet")
-    return spark.read.option("mergeSchema", True).parquet(path)
+    return spark.read.option("mergeSchema", merge_schema).parquet(path)
 
 
 @dataclass(frozen=True)
@@ -116,15 +119,15 @@ def load_etl_market(spark: SparkSession, path: str, *, start: str | None = None,
 
 
 def load_report_years(spark: SparkSession, root: str, columns: list[str], first: int, last: int) -> DataFrame:
-    """``report_year=`` partitions from first to last; columns that older files lack are NULL."""
-    frame = spark.read.option("mergeSchema", True).parquet(root).where(F.col("report_year").between(first, last))
+    """``report_year=`` partitions from first to last; columns that older files lack are NULL, so all footers are opened."""
+    frame = scan(spark, root, merge_schema=True).where(F.col("report_year").between(first, last))
     return frame.select(*(F.col(c) if c in frame.columns else F.lit(None).cast("double").alias(c) for c in columns))
 
 
 def load_months(spark: SparkSession, root: str, columns: list[str], start: str, end: str) -> DataFrame:
     """``year=/month=`` partitions of a date range: whole partitions are pruned, the rest filtered by date."""
     a, b = dt.date.fromisoformat(start), dt.date.fromisoformat(end)
-    frame = spark.read.option("mergeSchema", True).parquet(root)
+    frame = scan(spark, root)
     month = F.col("year") * 12 + F.col("month")
     frame = frame.where(F.col("year").between(a.year, b.year) & month.between(a.year * 12 + a.month, b.year * 12 + b.month))
     frame = P.normalise(frame.select(DATE, SYMBOL, *columns), upper=True)

@@ -40,12 +40,20 @@ def publish(frame: DataFrame, path: str, *, partition_by: list[str] | None = Non
 
 
 def write_panel(panel: DataFrame, path: str, *, compression: str = "zstd") -> DataFrame:
-    """``year=/month=`` partitions, sorted by date and symbol; returns their rows. A month is dealt over several files if it is large."""
+    """``year=/month=`` partitions, sorted by date and symbol; returns their rows, files, bytes and SHA-256. A month is dealt over several files if it is large."""
     dated = panel.withColumns({"year": F.year(DATE), "month": F.month(DATE)})
     # rebalancing splits large months and joins small ones
     dated = dated.hint("rebalance", "year", "month").sortWithinPartitions("year", "month", DATE, SYMBOL)
     publish(dated, path, partition_by=["year", "month"], compression=compression)
-    return panel.sparkSession.read.parquet(path).groupBy("year", "month").agg(F.count("*").alias("rows")).orderBy("year", "month")
+    rows = panel.sparkSession.read.parquet(path).groupBy("year", "month").agg(F.count("*").alias("rows"))
+    return rows.join(file_digests(panel.sparkSession, path, ["year", "month"]), ["year", "month"]).orderBy("year", "month")
+
+
+def file_digests(spark: SparkSession, path: str, by: list[str]) -> DataFrame:
+    """Files, bytes and SHA-256 of the partitions of a table; of several files the digest is that of their sorted digests."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select(*by, "length", F.sha2("content", 256).alias("own"))
+    many = F.sha2(F.concat_ws(",", F.sort_array(F.collect_list("own"))).cast("binary"), 256)
+    return files.groupBy(*by).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.when(F.count("*") == 1, F.max("own")).otherwise(many).alias("sha256"))
 
 
 def write_table(frame: DataFrame, path: str) -> str:
@@ -84,15 +92,27 @@ def write_text(text: str, folder: Path, prefix: str, suffix: str = ".txt") -> Pa
     return out
 
 
-def manifest(panel: DataFrame, path: str, field_groups: dict[str, list[str]], *, calendar: str = "next trading date") -> dict:
-    """Counts and contract of a panel, in the form that ``plans.catalog`` reads."""
+def manifest(panel: DataFrame, path: str, field_groups: dict[str, list[str]], *, calendar: str = "next trading date", partitions: DataFrame | None = None) -> dict:
+    """Counts and contract of a panel, in the form that ``plans.catalog`` reads; ``partitions`` is what ``write_panel`` returned."""
     r = panel.agg(F.count("*").alias("rows"), F.count_distinct(SYMBOL).alias("symbols"), F.min(DATE).alias("a"), F.max(DATE).alias("b")).first()
     return {
         "rows": r["rows"], "symbols": r["symbols"], "date_range": {"panel_start": str(r["a"]), "panel_end": str(r["b"])}, "field_groups": field_groups, "artifacts": {"panel_root": path},
         "point_in_time_contract": {"activation_policy": calendar, "fill_policy": "backward as-of", "future_backfill": False},
+        "partitions": [] if partitions is None else [x.asDict() for x in partitions.collect()],
     }
 
 
+def first_setting(*names: str, dotenv: str | Path | None = None) -> str | None:
+    """The first of the variables that is not empty in the environment, else in a ``NAME=value`` file."""
+    here = dict(os.environ)
+    if dotenv and Path(dotenv).is_file():
+        for line in Path(dotenv).read_text(encoding="utf-8").splitlines():
+            name, equals, value = line.strip().removeprefix("export ").partition("=")
+            if equals and not name.startswith("#") and not here.get(name.strip(), "").strip():
+                here[name.strip()] = value.strip().strip("\"'")
+    return next((v for n in names if (v := here.get(n, "").strip())), None)
+
+
 def remove(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 

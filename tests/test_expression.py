@@ -71,3 +71,23 @@ def test_order_of_rows_changes_nothing(spark):
 def test_every_factor_parses():
     for name in factors.FACTORS:
         assert X.fields_of(X.parse(factors.formula(name)))
+
+
+def test_long_windows_take_running_sums(spark):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    n = 220
+    x, y = 1e6 + rng.normal(size=n).cumsum(), rng.normal(size=n)
+    x[60:140] = x[60]  # a constant window has no correlation
+    x[[5, 170]] = np.nan
+    rows = [(dt.date(2024, 1, 1) + dt.timedelta(days=i), "a", None if np.isnan(x[i]) else float(x[i]), float(y[i])) for i in range(n)]
+    frame = spark.createDataFrame(rows, "date date, symbol string, close double, volume double")
+    out = X.evaluate(frame, {"r": "correlation(close, volume, 40, 20)", "c": "covariance(close, volume, 40)"}).orderBy("date").toPandas()
+    a, b = pd.Series(np.where(np.isnan(x), np.nan, x)), pd.Series(np.where(np.isnan(x), np.nan, y))
+    want = a.rolling(40, 20).corr(b)
+    constant = a.rolling(40, 1).max() == a.rolling(40, 1).min()
+    assert out.r[constant].isna().all() and constant.sum() > 30
+    assert np.allclose(out.r[~constant].astype(float), want[~constant], rtol=1e-6, atol=1e-8, equal_nan=True)
+    assert np.allclose(out.c.astype(float), a.rolling(40, 2).cov(b), rtol=1e-6, atol=1e-7, equal_nan=True)

@@ -67,9 +67,53 @@ def test_factor_code_runs_with_its_fields_only(spark):
         factor_code.run(_panel(spark, 5), "def f(data):\n    return data['close'].shift(-1)")
     whole = factor_code.run(_panel(spark, 5), "def f(data):\n    return data['close'] - data['close'].groupby(level='time').transform('mean') + data['close'].groupby(level='symbol').shift(1)")
     assert whole.where("value is not null").count() == 16
-    with pytest.raises(TimeoutError), factor_code.time_limit(0.05):
-        while True:
-            pass
+    with pytest.raises(TimeoutError), factor_code.job_limit(spark, 0.3):
+        spark.range(10**13).selectExpr("sum(hash(id))").collect()
+    assert spark.range(5).count() == 5
+
+
+@pytest.mark.parametrize(
+    ("body", "level"),
+    [
+        ("data['close'].groupby(level='symbol').shift(1)", "symbol"),
+        ("data['close'].groupby('symbol', group_keys=False).apply(lambda x: x.rolling(3).mean())", "symbol"),
+        ("data['close'] / (data['close'].groupby(level=1).shift(2) + 1).abs()", "symbol"),
+        ("data['close'].groupby(level='time').rank()", "time"),
+        ("data['close'].groupby(level='symbol').shift(1) - data['close'].mean()", None),
+        ("data['close'].groupby(level='symbol').shift(1) - data['close'].shift(1)", None),
+        ("data['close'].groupby(level='symbol').shift(1).unstack().rank(axis=1).stack()", None),
+        ("data['close'].groupby(level='symbol').shift(1) + data['close'].groupby(level='time').rank()", None),
+        ("data['close'].groupby(lambda k: k[0]).rank() + data['close'].groupby(level='symbol').shift(1)", None),
+        ("data['close'] * 2", "symbol"),
+        ("data['close'][1:]", None),
+        ("data['close'] * len(data)", None),
+        ("data['close'].groupby(level='symbol').mean()", None),
+        ("np.log(data['close']).clip(0, 1)", "symbol"),
+        ("np.mean(data['close'])", None),
+    ],
+)
+def test_code_is_dealt_out_only_where_it_stays_within_a_level(body, level):
+    assert factor_code.within(f"def f(data):\n    return {body}") == level
+
+
+def test_dealt_out_code_equals_whole_code(spark):
+    panel = _panel(spark, 12)
+    for body in ("data['close'].groupby('symbol', group_keys=False).apply(lambda x: x.rolling(3).mean()) - data['close'].groupby(level='symbol').shift(1)", "data['close'].groupby(level='time').rank()"):
+        code = f"def f(data):\n    return {body}"
+        rows = [sorted(map(tuple, f(panel, code).collect()), key=str) for f in (factor_code.run, factor_code.run_whole)]
+        assert factor_code.within(code) and rows[0] == rows[1]
+    with pytest.raises(ExpressionError, match="whole panel"):
+        before, factor_code.MOST_WHOLE_ROWS = factor_code.MOST_WHOLE_ROWS, 3
+        try:
+            factor_code.run(panel, "def f(data):\n    return data['close'] - data['close'].mean()")
+        finally:
+            factor_code.MOST_WHOLE_ROWS = before
+
+
+def test_fields_by_computed_names_are_refused():
+    for body in ("data[name]", "data.get(name)", "data[['close', name]]", "data['clo' + 'se']"):
+        assert "KEY" in {k for k, _ in factor_code.analyse(f"def f(data, name='close'):\n    return {body} + data['close']", {"close"})[1]}
+    assert factor_code.analyse("def f(data):\n    return data.get('close') + data[['close']]['close']", {"close"})[1] == []
 
 
 def test_look_ahead_is_found(spark):
@@ -91,6 +135,59 @@ def test_search(spark):
     assert factors.similar[0]["similar_to"] == ["one"]
 
 
+def _set(spark, **more):
+    panel = _panel(spark)
+    return debate.FactorSet(panel, P.labels(panel, "close", 1).persist(), scoring.Samples(("2024-01-01", "2024-03-31"), ("2024-04-01", "2024-05-29")), **more)
+
+
+def test_search_stops_at_good_seeds(spark):
+    class Never:
+        def propose(self, context):
+            raise AssertionError("a good seed ends the search")
+
+    seeds = [{"name": "s", "expression": "-delta(close, 1)"}]
+    out = debate.run(_set(spark, thresholds=debate.Thresholds(seed_stop=-9.0)), [Never()], seeds=seeds)
+    assert out["stopped_at_seeds"] and len(out["debate_rounds"]) == 1
+    out = debate.run(_set(spark, thresholds=debate.Thresholds(seed_stop=99.0)), [], seeds=seeds)
+    assert not out["stopped_at_seeds"] and out["best"]["name"] == "s"
+
+
+def test_search_repairs_and_takes_library_factors(spark):
+    class Mender:
+        asked = []
+
+        def propose(self, context):
+            return {"name": "p", "expression": "delta(close, -1)"}
+
+        def repair(self, proposal, error):
+            self.asked.append(error)
+            return proposal | {"expression": "delta(nothing, 1)" if len(self.asked) == 1 else "rank(close)"}
+
+    code = "def f(data, n=1):\n    return -data['close'].groupby(level='symbol').diff(n)"
+    library = [{"name": "kept", "factor_code": code, "arguments": {"n": 2}}, {"name": "gone", "code": "delta(missing, 1)"}, {"name": "empty"}]
+    factors = _set(spark, thresholds=debate.Thresholds(seed_stop=99.0, icir=-9.0), lineage={"factor_mode": "ohlcv"})
+    out = debate.run(factors, [Mender()], rounds=1, seeds=[], library=library)
+    assert [x["name"] for x in out["library_failures"]] == ["gone", "empty"] and [r["name"] for r in out["accepted_factors"]] == ["kept", "p"]
+    last = out["debate_rounds"][-1]
+    assert [a["error"] is None for a in last["repairs"]] == [False, False, True] and Mender.asked[0].startswith("FUTURE") and Mender.asked[1].startswith("KEY")
+    record = factors.backtest("kept", code, {"n": 2})
+    assert record["demo_symbol"] == "a" and len(record["value"]) == len(record["dates"]) == 150 and record["factor_mode"] == "ohlcv" and record["referenced_fields"] == ["close"]
+    assert [n for n, _ in factors.similar_to({"code": "-delta(close, 2) * 3"})] == ["kept"]
+
+
+def test_search_takes_too_long(spark):
+    out = _set(spark, seconds=0.001).add({"name": "slow", "expression": "rank(ts_rank(close, 60))"})
+    assert out["status"] == "invalid" and out["error"].startswith("TIME")
+
+
+def test_seeds(tmp_path):
+    assert len(debate.seeds_of({})) == 6
+    assert debate.seeds_of({"examples": [{"code": "close", "arguments": {}}]}) == [{"name": "seed_1", "expression": "close", "arguments": {}}]
+    (tmp_path / "seeds.json").write_text(json.dumps({"alphas": [{"factor_code": "volume", "name": "v"}, {"name": "none"}, 3]}))
+    assert [x["name"] for x in debate.seeds_of({"seed_alphas_json_path": str(tmp_path / "seeds.json")})] == ["v"]
+    assert len(debate.seeds_of({"seed_factors_json_path": str(tmp_path / "gone.json")})) == 6
+
+
 def test_modes():
     assert scoring.evaluation_mode(None) == "pearson_ic" and scoring.evaluation_mode("Spearman") == "rank_ic" and scoring.evaluation_mode(None, "HybridICIR") == "hybrid"
     with pytest.raises(ValueError):

@@ -39,7 +39,7 @@ def test_small_helpers():
 
 def test_command_line(spark, tmp_path):
     _market(spark).write.parquet(str(tmp_path / "market"))
-    config = {"market_data_path": "market", "insample_time_range": ["2024-01-01", "2024-01-20"], "outsample_time_range": ["2024-01-21", "2024-02-09"]}
+    config = {"market_data_path": "market", "insample_time_range": ["2024-01-01", "2024-01-20"], "outsample_time_range": ["2024-01-21", "2024-02-09"], "seed_metric_threshold": 99}
     (tmp_path / "run.json").write_text(json.dumps(config))
     cli.session = lambda name="": spark
     assert cli.main(["search", "--input", str(tmp_path / "run.json"), "--output", str(tmp_path / "dry"), "--dry-run"]) == 0
@@ -48,7 +48,15 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "proposals.json").write_text(json.dumps([{"name": "p", "expression": "-delta(close, 2)"}]))
     cli.main(["search", "--input", str(tmp_path / "run.json"), "--output", str(tmp_path / "full"), "--proposals", str(tmp_path / "proposals.json")])
     rounds = json.loads((tmp_path / "full/debate_rounds.json").read_text())
-    assert rounds[-1]["name"] == "p" and rounds[0]["status"] == "effective"
+    assert rounds[-1]["name"] == "p" and rounds[0]["status"] == "effective" and len(rounds) == 7
+    config |= {"use_alpha_library": True, "alpha_library_path": str(tmp_path / "library.json"), "icir_threshold": -9, "factor_correlation_threshold": 2, "examples": [{"name": "seed_x", "code": "close"}], "demo_symbol": "b"}
+    (tmp_path / "run.json").write_text(json.dumps(config))
+    for turn in range(2):
+        cli.main(["search", "--input", str(tmp_path / "run.json"), "--output", str(tmp_path / f"lib{turn}"), "--proposals", str(tmp_path / "proposals.json")])
+        result = json.loads((tmp_path / f"lib{turn}/factor_search_result.json").read_text())
+        # the second run begins with the factor that the first one added
+        assert [r["proposer"] for r in result["debate_rounds"]] == ["seed", *["library"] * turn, 0]
+        assert result["library_update"]["after_count"] == 1 and result["best"]["demo_symbol"] == "b" and result["best"]["value"]["count"] == 40
     cli.main(["evaluate", "--data", str(tmp_path / "market"), "--expression", "rank(close)", "--output", str(tmp_path / "csv")])
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 120
 
@@ -73,3 +81,28 @@ def test_entry(spark):
     assert {"date", "ic", "rank_ic", "pairs"} == {*__spark_entry__.entry(spark).columns} and __spark_entry__.entry(spark).count() > 0
     names = __spark_entry__.queries()
     assert {*__spark_entry__.oracle_sql()} <= {*names}
+
+
+def test_partitions_carry_bytes_and_digests(spark, tmp_path):
+    import hashlib
+
+    panel = _market(spark).withColumn("date", F.to_date(F.col("date").cast("string"), "yyyyMMdd"))
+    parts = sinks.write_panel(panel, str(tmp_path / "panel"))
+    rows = parts.collect()
+    assert [(r.year, r.month, r.rows) for r in rows] == [(2024, 1, 93), (2024, 2, 27)]
+    for r in rows:
+        files = [*(tmp_path / f"panel/year={r.year}/month={r.month}").glob("*.parquet")]
+        assert r.bytes == sum(f.stat().st_size for f in files) and r.files == len(files)
+        if len(files) == 1:
+            assert r.sha256 == hashlib.sha256(files[0].read_bytes()).hexdigest()
+    written = sinks.manifest(panel, str(tmp_path / "panel"), {}, partitions=parts)
+    assert [x["rows"] for x in written["partitions"]] == [93, 27]
+
+
+def test_settings(tmp_path, monkeypatch):
+    (tmp_path / ".env").write_text("# no=1\nexport QL_A='x y'\nQL_B=\nQL_C=file\n")
+    monkeypatch.setenv("QL_C", "own")
+    monkeypatch.setenv("QL_D", " ")
+    found = lambda *names: sinks.first_setting(*names, dotenv=tmp_path / ".env")
+    assert found("QL_B", "QL_A") == "x y" and found("QL_C") == "own" and found("QL_D", "QL_B") is None
+    assert sinks.first_setting("QL_A") is None
