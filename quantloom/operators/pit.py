@@ -120,9 +120,12 @@ def _tie_type(right: DataFrame, tie: list[str] | None):
     return right.select(F.struct(*(tie or [c for c in right.columns if c != SYMBOL]))).schema[0].dataType
 
 
-def asof_attach(left: DataFrame, right: DataFrame, *, on: str = "activation_date", tie: list[str] | None = None) -> DataFrame:
-    """``asof_join``, but an empty right side adds no columns."""
-    return left if right.isEmpty() else asof_join(left, right, on=on, tie=tie)
+def asof_attach(left: DataFrame, right: DataFrame, *, on: str = "activation_date", tie: list[str] | None = None, source: DataFrame | None = None) -> DataFrame:
+    """``asof_join``, but an empty right side adds no columns.
+
+    ``source``, the rows that ``right`` is made of, is looked at for that instead, where it is cheaper.
+    """
+    return left if (right if source is None else source).isEmpty() else asof_join(left, right, on=on, tie=tie)
 
 
 def age_features(panel: DataFrame, name: str, available: str, activation: str) -> DataFrame:

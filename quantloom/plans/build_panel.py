@@ -59,13 +59,13 @@ def build(x: Inputs) -> Panel:
     for table in (x.daily, x.shares):
         if table is not None:
             out = out.join(P.require_unique(table, [DATE, SYMBOL], "daily table"), [DATE, SYMBOL], "left")
-    streams = [("statement", named, "fund_statement_available_date")]
-    if x.forecasts is not None:
-        streams.append(("forecast", M.forecasts(pit.activate(known_by(x.forecasts, x.end), x.calendar)), "fund_forecast_available_date"))
-    if x.performance is not None:
-        streams.append(("performance", M.performance(pit.activate(known_by(x.performance, x.end), x.calendar)), "fund_performance_available_date"))
-    for name, events, available in streams:
-        out = pit.asof_attach(out, events)
+    streams = [("statement", merged, named, "fund_statement_available_date")]
+    for name, table, fields in (("forecast", x.forecasts, M.forecasts), ("performance", x.performance, M.performance)):
+        if table is not None:
+            known = known_by(table, x.end)
+            streams.append((name, known, fields(pit.activate(known, x.calendar)), f"fund_{name}_available_date"))
+    for name, known, events, available in streams:
+        out = pit.asof_attach(out, events, source=known)
         if available in out.columns:
             own = f"fund_{name}_activation_date"
             out = out.withColumnRenamed("activation_date", own) if own not in out.columns else out.drop("activation_date")

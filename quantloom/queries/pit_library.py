@@ -93,7 +93,7 @@ def attached(spark: SparkSession, d: str) -> DataFrame:
     """The market with each symbol's state as of the date, fields prefixed by ``fund_``."""
     state = snaps(spark, d)
     named = state.select("symbol", "activation_date", *(F.col(c).alias(f"fund_{c}") for c in [*_META, *_STATE]))
-    return pit.asof_attach(market(spark, d), named)
+    return pit.asof_join(market(spark, d), named, on="activation_date")
 
 
 def panel(spark: SparkSession, d: str) -> DataFrame:
