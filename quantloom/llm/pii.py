@@ -34,7 +34,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import bounded, materialise
+from .storage import bounded, free, materialise
 
 # The patterns match the same text as their plain forms do, without backtracking into a run of characters:
 #   email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+     ip [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
@@ -45,7 +45,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-WORD = r"[\p{L}\p{N}]+"
+WORD = r"[\p{L}\p{N}]"
 KINDS = (*PATTERNS, "secret", "term")
 #: A text without this can't hold the kind.
 _HINTS: dict[str, Callable[[Column], Column]] = {
@@ -81,7 +81,7 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, x: a + x)
 
 
-def _located(text: Column, pattern: str, kind: str, matches: Column) -> Column:
+def _located(text: Column, pattern: str | Column, kind: str, matches: Column) -> Column:
     """The matches as spans in code points. Running lengths are summed by blocks, so that many matches cost little more than each one."""
 
     def spans(m: Column, g: Column, steps: Column, before_block: Column) -> Column:
@@ -148,8 +148,9 @@ def _apart(spans: Column, others: Column) -> Column:
 
 
 def _terms(text: Column) -> Column:
-    """The words with a letter outside of emails."""
-    return F.filter(F.split(F.lower(F.regexp_replace(text, PATTERNS["email"], " ")), r"[^\p{L}\p{N}]+"), lambda w: w.rlike(r"\p{L}"))
+    """The words with a letter outside of emails, lower-case."""
+    plain = F.when(text.contains("@"), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
+    return F.regexp_extract_all(F.lower(plain), F.lit(r"\p{N}*+\p{L}[\p{L}\p{N}]*+"), F.lit(0))
 
 
 def _written(spans: Column) -> Column:
@@ -164,7 +165,7 @@ def _disclosure(n_term: str, n: int, prior: float) -> Column:
 
 def revealing_terms(docs: DataFrame, how: Disclosure, text_column: str) -> tuple[DataFrame, DataFrame] | None:
     """(term, disclosure) of the terms over the threshold, and (key, term) of the texts that hold them; None if there are none."""
-    texts = docs.select(F.coalesce(F.col(text_column), F.lit("")).alias("text")).withColumn("key", F.md5(F.col("text").cast("binary")))
+    texts = docs.select(F.coalesce(F.col(text_column), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     n = texts.select("key").distinct().count()
     # the last words before a value and the first ones after it
     near = F.transform("s", lambda s: F.struct(
@@ -181,23 +182,28 @@ def revealing_terms(docs: DataFrame, how: Disclosure, text_column: str) -> tuple
     beside = spots.select("key", "x.value", F.explode("x.words").alias("term")).distinct().groupBy("value", "term").agg(F.count("*").alias("n_both"))
     beside = beside.join(counts, "value").select("term", "n_both", "n_entity")
 
-    # over whole texts; a term's context is hashed, so that no two rows of one text and context meet
+    # over whole texts; a term occurs in as many texts at least as with any entity in, which bounds what it can disclose
+    present = materialise(held.select("key", F.explode(F.array_distinct("words")).alias("term")).distinct(), "present")
+    anywhere = present.groupBy("term").agg(F.count("*").alias("n_near"))
+    pools = named.select("key", "entity").distinct()
+    pool_counts = pools.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    enough = (F.col("n_entity") < n) & (_disclosure("n_near", n, how.prior) >= how.threshold)
+    whole = present.join(pools, "key").groupBy("entity", "term").agg(F.count("*").alias("n_both")).join(pool_counts, "entity").join(anywhere, "term").where(enough)
+    whole = materialise(whole.select("entity", "term", "n_both", "n_entity"), "whole")
+
+    # the contexts of what is left; they are hashed, so that no two rows of one text and context meet
     def context(w: Column, i: Column) -> Column:
         return F.struct(w.alias("term"), F.xxhash64(*(F.coalesce(F.get("words", i + d), F.lit("")) for d in (-2, -1, 1, 2))).alias("context"))
 
-    used = held.select("key", F.explode(F.array_distinct(F.transform("words", context))).alias("x")).select("key", "x.term", "x.context").distinct()
-    used = materialise(used, "used")
-    # a term occurs in as many texts at least as with any entity in, which bounds what it can disclose
-    anywhere = used.select("key", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    pools = named.select("key", "entity").distinct()
-    pool_counts = pools.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    # only what stands in enough texts and contexts of all entities is counted for each of them
-    often = used.select("term", "context").distinct().groupBy("term").agg(F.count("*").alias("c")).where(F.col("c") >= how.min_contexts).select("term")
-    whole = used.join(often, "term").join(pools, "key").groupBy("entity", "term").agg(F.countDistinct("key").alias("n_both"), F.countDistinct("context").alias("contexts"))
-    whole = whole.where(F.col("contexts") >= how.min_contexts).join(pool_counts, "entity").select("term", "n_both", "n_entity")
+    terms = bounded(whole.select("term").distinct())
+    own = materialise(present.join(terms, "term"), "own")
+    near_texts = held.join(bounded(own.select("key").distinct()), "key", "left_semi")
+    used = near_texts.select("key", F.explode(F.transform("words", context)).alias("x")).select("key", "x.term", "x.context").join(terms, "term").distinct()
+    often = used.join(pools, "key").select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= how.min_contexts)
+    whole = whole.join(often, ["entity", "term"]).select("term", "n_both", "n_entity")
 
-    candidates = beside.union(whole).where(F.col("n_entity") < n).join(anywhere, "term")
-    candidates = materialise(candidates.where(_disclosure("n_near", n, how.prior) >= how.threshold).drop("n_near").distinct(), "candidates")
+    candidates = materialise(beside.join(anywhere, "term").where(enough).select("term", "n_both", "n_entity").union(whole).distinct(), "candidates")
+    free(own)
     if candidates.isEmpty():
         return None
     words = texts.select("key", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
@@ -205,6 +211,7 @@ def revealing_terms(docs: DataFrame, how: Disclosure, text_column: str) -> tuple
     known = candidates.join(mentions.groupBy("term").agg(F.count("*").alias("n_term")), "term")
     known = known.withColumn("disclosure", _disclosure("n_term", n, how.prior))
     flagged = materialise(known.where(F.col("disclosure") >= how.threshold).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "terms")
+    free(held, named, present, candidates)
     return None if flagged.isEmpty() else (flagged, mentions.join(bounded(flagged.select("term")), "term"))
 
 
@@ -219,8 +226,10 @@ def find_personal_data(docs: DataFrame, how: Disclosure | None = None, *, text_c
     if terms is None:
         return out.withColumn("pii_term", F.array().cast(_SPAN))
     held = materialise(terms[1].groupBy("key").agg(F.collect_set("term").alias("pii_held")), "held").withColumnRenamed("key", "pii_key")
-    out = out.withColumn("pii_key", F.md5(text.cast("binary"))).join(bounded(held), "pii_key", "left").drop("pii_key")
-    spots = F.filter(_located(text, WORD, "term", F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), lambda s: F.array_contains(F.col("pii_held"), F.lower(s["value"])))
+    out = out.withColumn("pii_key", F.xxhash64(text)).join(bounded(held), "pii_key", "left").drop("pii_key")
+    # terms are letters and digits only, so that they stand for themselves in a pattern
+    any_of = F.concat(F.lit(rf"(?iu)(?<!{WORD})(?:"), F.array_join(F.array_sort("pii_held"), "|"), F.lit(rf")(?!{WORD})"))
+    spots = _located(text, any_of, "term", F.regexp_extract_all(text, any_of, F.lit(0)))
     own = _apart(spots, F.concat(base, F.col("pii_secret")))
     return out.withColumn("pii_term", F.when(F.col("pii_held").isNull(), F.array().cast(_SPAN)).otherwise(own)).drop("pii_held")
 
