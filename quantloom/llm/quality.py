@@ -2,7 +2,7 @@
 
 Shallow random trees are grown on a bounded sample of labelled texts. Every path from a root is a rule, a conjunction of
 bounds on statistics. A logistic model with an L1 penalty weighs the rules, which drives most weights to zero, and the
-rest are compiled into one Spark column expression.
+rest are compiled into one Spark column expression over a literal table of rules.
 
 Statistics are taken over whole texts in numpy. Null and empty texts have zero statistics and get a score like others.
 Without labelled texts of both kinds the score of every text is the share of label 1, or 0.5 without any. Repeated rows
@@ -12,6 +12,7 @@ are scored alike; an empty table gives no rows. Columns but the text are not rea
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -107,14 +108,19 @@ class RuleModel:
     rules: list[tuple[Rule, float]]
 
     def score(self) -> Column:
-        """Probability of label 1 from the statistics' columns."""
-        total = F.lit(self.bias)
-        for rule, weight in self.rules:
-            holds = F.lit(True)
-            for feature, above, cut in rule:
-                value = F.col(PREFIX + STATISTICS[feature])
-                holds = holds & ((value > cut) if above else (value <= cut))
-            total = total + F.when(holds, weight).otherwise(0.0)
+        """Probability of label 1 from the statistics' columns.
+
+        The rules are one literal that the expression walks, so that its plan stays small whatever their number.
+        """
+        table = json.dumps([{"weight": w, "conditions": [{"feature": f, "above": above, "cut": cut} for f, above, cut in rule]} for rule, w in self.rules])
+        rules = F.from_json(F.lit(table), "array<struct<weight:double,conditions:array<struct<feature:int,above:boolean,cut:double>>>>")
+        values = F.array(*(F.col(PREFIX + s) for s in STATISTICS))
+
+        def holds(c: Column) -> Column:
+            value = F.get(values, c["feature"])
+            return F.when(c["above"], value > c["cut"]).otherwise(value <= c["cut"])
+
+        total = F.aggregate(rules, F.lit(self.bias), lambda t, r: F.when(F.forall(r["conditions"], holds), t + r["weight"]).otherwise(t))
         return 1 / (1 + F.exp(-total))
 
 
@@ -189,24 +195,29 @@ def fit_rules(x: np.ndarray, y: np.ndarray, how: RuleFit | None = None) -> RuleM
     if not chosen:
         share = float(y.mean())
         return RuleModel(math.log(share / (1 - share)), [])
-    a = np.stack([_holds(x, r) for r in chosen], axis=1).astype(np.float64)
-    spread = np.sqrt(np.maximum(a.mean(axis=0) * (1 - a.mean(axis=0)), 1e-3))
-    a /= spread
+    # texts that the same rules hold for are one row with a weight and a share of label 1, which changes no sum
+    held = np.stack([_holds(x, r) for r in chosen], axis=1)
+    _, first, which, times = np.unique(np.packbits(held, axis=1), axis=0, return_index=True, return_inverse=True, return_counts=True)
+    which = which.ravel()
+    mass, ones = times / len(y), np.bincount(which, weights=y) / times
+    often = held.mean(axis=0)
+    spread = np.sqrt(np.maximum(often * (1 - often), 1e-3))
+    a = held[first] / spread
     share = float(y.mean())
     weights, bias = np.zeros(a.shape[1]), math.log(share / (1 - share))
     # power iteration for the step size
     v = np.ones(a.shape[1]) / math.sqrt(a.shape[1])
     for _ in range(20):
-        v = a.T @ (a @ v)
+        v = a.T @ (mass * (a @ v))
         norm = np.linalg.norm(v)
         v /= norm
-    step = 4 * len(y) / (norm + len(y))
+    step = 4 / (norm + 1)
     at, at_bias, t = weights.copy(), bias, 1.0
     for _ in range(how.steps):
-        gap = 1 / (1 + np.exp(-(a @ at + at_bias))) - y
-        new = at - step * (a.T @ gap) / len(y)
+        gap = mass * (1 / (1 + np.exp(-(a @ at + at_bias))) - ones)
+        new = at - step * (a.T @ gap)
         new = np.sign(new) * np.maximum(np.abs(new) - step * how.penalty, 0)
-        new_bias = at_bias - step * gap.mean()
+        new_bias = at_bias - step * gap.sum()
         t_new = (1 + math.sqrt(1 + 4 * t * t)) / 2
         at, at_bias = new + (t - 1) / t_new * (new - weights), new_bias + (t - 1) / t_new * (new_bias - bias)
         weights, bias, t = new, new_bias, t_new
@@ -216,7 +227,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, how: RuleFit | None = None) -> RuleM
 def fit_quality(docs: DataFrame, labels: DataFrame, how: RuleFit | None = None, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> RuleModel:
     """Fit on the labelled ``docs``. Of an id's labels the largest counts; null ids and labels are left out.
 
-    ``sample_rows`` bounds the sample; its ids are drawn by hash.
+    ``sample_rows`` bounds the sample; its ids are drawn by hash, and of each one text is taken.
     """
     how = how or RuleFit()
     known = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isNotNull()).groupBy(F.col(id_column).alias("label_id")).agg(F.max(label_column).alias("label"))
@@ -224,7 +235,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, how: RuleFit | None = None,
     drawn = known.where(F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, how.sample_rows / max(n, 1))))
     narrow = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("text is not null")
     joined = narrow.join(bounded(drawn), F.col("id") == F.col("label_id")).select("id", "text", "label")
-    table = with_statistics(joined, "text", ["id", "label"]).toPandas().sort_values(["id", "label", *(PREFIX + s for s in STATISTICS)])
+    # of an id's texts the one with the least statistics counts, so that the driver gets no more rows than ids were drawn
+    least = with_statistics(joined, "text", ["id", "label"]).groupBy("id").agg(F.min(F.struct("label", *(PREFIX + s for s in STATISTICS))).alias("row"))
+    table = least.select("id", "row.*").toPandas().sort_values("id")
     return fit_rules(table[[PREFIX + s for s in STATISTICS]].to_numpy(float), table["label"].to_numpy(float), how)
 
 
