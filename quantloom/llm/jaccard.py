@@ -288,11 +288,17 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return map_arrow(joined, run, f"{fields}, shingles array<long>")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, how: JaccardJoin) -> DataFrame:
-    """(u, v): ids that stand for the two nodes of each pair (fp, n, fp2, n2) whose whole sets are similar enough."""
+def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, how: JaccardJoin, *, once: bool) -> DataFrame:
+    """(u, v): ids that stand for the two nodes of each pair (fp, n, fp2, n2) whose whole sets are similar enough.
+
+    ``once``: every node is in one pair at most on the left. Otherwise a node's set is made once and then met by its pairs.
+    """
     named = pairs.join(nodes, ["fp", "n"]).join(nodes.select(F.col("fp").alias("fp2"), F.col("n").alias("n2"), F.col("rep").alias("rep2")), ["fp2", "n2"])
     named = materialise(named.where("rep is not null and rep2 is not null").select("rep", "fp", "n", "rep2", "fp2", "n2"), "pairs")
-    left = _sets_of(docs, named, how.words)
+    if once:
+        left = _sets_of(docs, named, how.words)
+    else:
+        left = named.join(_sets_of(docs, named.select("rep", "fp", "n").distinct(), how.words).select("fp", "n", "shingles"), ["fp", "n"])
     right = _sets_of(docs, named.select(F.col("rep2").alias("rep"), F.col("fp2").alias("fp"), F.col("n2").alias("n")).distinct(), how.words)
     right = right.select(F.col("fp").alias("fp2"), F.col("n").alias("n2"), F.col("shingles").alias("other"))
     both = left.join(right, ["fp2", "n2"]).withColumn("common", F.size(F.array_intersect("shingles", "other")))
@@ -304,7 +310,8 @@ def jaccard_components(docs: DataFrame, how: JaccardJoin | None = None, *, id_co
 
     Null and word-less texts have no shingles and are linked with nothing. Rows with the same id are one document of
     the link graph. A row with a null id cannot name a component: its ``component_id`` is the one of the texts with an
-    equal set, or null. Other columns are not read.
+    equal set, or null. Repeated rows get equal results, an empty table gives no rows, long texts count whole. Other
+    columns are not read.
     """
     how = how or JaccardJoin()
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
@@ -321,7 +328,7 @@ def jaccard_components(docs: DataFrame, how: JaccardJoin | None = None, *, id_co
     ties = ties.groupBy("fp", "n", "fp2", "n2").agg(F.count("*").alias("shared"), F.min("rest").alias("rest"), F.min("rest2").alias("rest2"))
     ties = ties.where(F.col("shared") >= _least_shared(F.col("n"), F.col("n2"), F.col("rest"), F.col("rest2"), how.percent))
     best = ties.groupBy("fp", "n").agg(F.max(F.struct("shared", "fp2", "n2")).alias("b"))
-    first = materialise(_verified(docs, best.select("fp", "n", "b.fp2", "b.n2"), nodes, how), "links")
+    first = materialise(_verified(docs, best.select("fp", "n", "b.fp2", "b.n2"), nodes, how, once=True), "links")
 
     groups = materialise(connected_components(first), "groups")
     named = nodes.join(groups.withColumnRenamed("vertex", "rep"), "rep", "left").select("fp", "n", "rep", F.coalesce("component", "rep").alias("group"))
@@ -350,7 +357,7 @@ def jaccard_components(docs: DataFrame, how: JaccardJoin | None = None, *, id_co
     prefixes = lists.groupBy("fp", "n").agg(F.collect_list("token").alias("t"), F.min("rest").alias("rest"))
     pairs = pairs.join(prefixes, ["fp", "n"]).join(prefixes.select(*(F.col(c).alias(f"{c}2") for c in prefixes.columns)), ["fp2", "n2"])
     pairs = pairs.where(F.size(F.array_intersect("t", "t2")) >= _least_shared(F.col("n"), F.col("n2"), F.col("rest"), F.col("rest2"), how.percent))
-    second = _verified(docs, pairs.select("fp", "n", "fp2", "n2"), nodes, how)
+    second = _verified(docs, pairs.select("fp", "n", "fp2", "n2"), nodes, how, once=False)
 
     # texts under one id are one document
     with_rep = rows.join(named, ["fp", "n"], "left")
@@ -394,9 +401,15 @@ def one_of_each(docs: DataFrame, components: DataFrame, how: JaccardJoin | None
     """One row of each component: of the smallest id, and of its rows one with shingles, the first by hash.
 
     Rows with a null id go if a row with an id has an equal set, else one of each set stays; word-less ones, which are
-    linked with nothing, stay.
+    linked with nothing, stay. An empty table gives an empty one; columns come back as they were.
     """
-    how = how or JaccardJoin()
+    how, names = how or JaccardJoin(), docs.columns
+    own = {c: f"kept{c}" for c in names if c in ("_fp", "_n")}
+    out = _one_of_each(docs.withColumnsRenamed(own), components, how, id_column, text_column)
+    return out.select(*(F.col(f"`{own.get(c, c)}`").alias(c) for c in names))
+
+
+def _one_of_each(docs: DataFrame, components: DataFrame, how: JaccardJoin, id_column: str, text_column: str) -> DataFrame:
     named, unnamed = docs.where(F.col(id_column).isNotNull()), docs.where(F.col(id_column).isNull())
     gone = components.where(F.col("component_id") != F.col(id_column)).select(F.col(id_column)).distinct()
     named = named.join(bounded(gone), id_column, "left_anti").select(docs.columns)
