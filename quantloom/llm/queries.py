@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from .pii import find_personal_data, span_digest
 from .quality import fit_quality, score_quality
 from .repetition import RepetitionRules, repetition_rules
 from .storage import held_out
-from .urlfilter import judge_urls
+from .urlfilter import LINK, LinkTrust, judge_urls
 
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 QUALITY_CUT = 0.3
@@ -106,6 +107,39 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   base_failed, NOT base_failed AND NOT ({bad} OR lines > {rules.lines}) AS kept FROM b"""
 
 
+def _url_sql() -> str:
+    """Rules, and trust and distrust over links in as many rounds as the operator takes."""
+    how = LinkTrust()
+    low = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
+
+    def fits(rule: str) -> str:
+        own, slash, rest = rule.partition("/")
+        return f"(host = '{own}' OR ends_with(host, '.{own}')) AND starts_with(path, '{slash}{rest}')"
+
+    longest = sorted(URL_RULES, key=lambda r: (-len(r[0]), r[1] != "block", r[0]))
+    case = lambda place: "CASE " + " ".join(f"WHEN {fits(r[0])} THEN '{r[place]}'" for r in longest) + " END"
+    link = LINK.replace("'", "''")
+
+    def rank(name: str, verdict: str, src: str, dst: str) -> str:
+        parts = [
+            f"{name}_s AS (SELECT host, (1 - {how.damping}) * count(*) / sum(count(*)) OVER () AS mass FROM f WHERE ruled = '{verdict}' AND host <> '' GROUP BY host)",
+            f"{name}_p AS (SELECT {src} AS src, {dst} AS dst, {how.damping} * n / sum(n) OVER (PARTITION BY {src}) AS p FROM e)", f"{name}_0 AS (SELECT host, mass FROM {name}_s)",
+        ]
+        for i in range(1, how.rounds + 1):
+            parts.append(f"{name}_r{i} AS MATERIALIZED (SELECT dst AS host, sum(p * mass) AS mass FROM {name}_p JOIN {name}_{i - 1} ON src = host GROUP BY dst)")
+            parts.append(f"{name}_{i} AS MATERIALIZED (SELECT host, sum(mass) AS mass FROM (SELECT * FROM {name}_r{i} UNION ALL SELECT * FROM {name}_s) GROUP BY host)")
+        return ", ".join(parts)
+
+    return rf"""WITH k AS (SELECT page_id, coalesce(html, '') AS html, CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), {low}) ELSE '' END AS host,
+  CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM (SELECT page_id, html, coalesce(url, '') AS url FROM pages)),
+f AS (SELECT page_id, host, path, {case(0)} AS rule, {case(1)} AS ruled FROM k),
+e AS (SELECT src, dst, count(*) AS n FROM (SELECT host AS src, unnest(list_distinct(list_transform(regexp_extract_all(html, '{link}', 1), lambda x: translate(x, {low})))) AS dst FROM k) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY 1, 2),
+{rank("trust", "allow", "src", "dst")}, {rank("distrust", "block", "dst", "src")},
+h AS (SELECT count(DISTINCT host) AS hosts FROM (SELECT src AS host FROM e UNION ALL SELECT dst FROM e)),
+bad AS (SELECT d.host FROM distrust_r{how.rounds} d LEFT JOIN trust_r{how.rounds} t USING (host), h WHERE d.mass > coalesce(t.mass, 0) AND d.mass * hosts >= {how.share})
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM f"""
+
+
 _JACCARD_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 x AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], chr(1)))) WHEN len(w) > 0 THEN [array_to_string(w, chr(1))] ELSE CAST([] AS VARCHAR[]) END AS s FROM w),
 n AS (SELECT doc_id, len(s) AS n FROM x), e AS (SELECT doc_id, unnest(s) AS s FROM x),
@@ -130,4 +164,4 @@ FROM c GROUP BY conv_id"""
 
 
 #: The other operators learn, draw or extract in ways that SQL doesn't express; tests hold them against plain versions.
-ORACLE_SQL: dict[str, str] = {"op8_repetition": _repetition_sql(), "op9_jaccard": _JACCARD_SQL, "op10_chat": _chat_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_urls": _url_sql(), "op8_repetition": _repetition_sql(), "op9_jaccard": _JACCARD_SQL, "op10_chat": _chat_sql()}

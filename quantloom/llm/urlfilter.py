@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .storage import bounded, materialise
 
-_LINK = r"(?i)<a\s[^<>]*?href\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s<>]+)"
+#: A link to another host.
+LINK = r"(?i)<a\s[^<>]*?href\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s<>]+)"
 
 
 @dataclass(frozen=True)
@@ -57,7 +58,7 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Co
 
 def host_edges(pages: DataFrame, *, url_column: str = "url", html_column: str = "html") -> DataFrame:
     """(src, dst, n): links between different hosts."""
-    links = pages.select(host_of(F.col(url_column)).alias("src"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all(html_column, F.lit(_LINK), F.lit(1)), _folded))).alias("dst"))
+    links = pages.select(host_of(F.col(url_column)).alias("src"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all(html_column, F.lit(LINK), F.lit(1)), _folded))).alias("dst"))
     return links.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 

@@ -219,3 +219,16 @@ def context_bits(samples, text, order):
         return {x: seen[x] / (n + distinct) if x in seen else distinct / (n + distinct) * below[x] / left for x in alphabet}
 
     return [-math.log2(chance(tuple(text[max(0, i - order) : i]), min(i, order))[x]) for i, x in enumerate(text)]
+
+
+def statistics(text):
+    """What the quality classifier looks at, one by one."""
+    text = text or ""
+    words, chars = WORD.findall(text), max(len(text), 1)
+    n = max(len(words), 1)
+    lines = [tuple(WORD.findall(x)) for x in text.split("\n") if WORD.search(x)]
+    share = lambda own: sum(c in own for c in text) / chars
+    return [
+        len(words), sum(map(len, words)) / n, len({*words}) / n, sum(a == b for a, b in zip(words, words[1:])) / n, share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share("0123456789"), share("#*$%&<>"), share("|"), share("!"), share(".,;:?"),
+        len(words) / (text.count("\n") + 1), len({*lines}) / max(len(lines), 1),
+    ]

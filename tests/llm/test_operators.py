@@ -201,6 +201,27 @@ def test_distrust_goes_against_links(spark):
     assert out == {"bad.com": "block", "farm.org": "block", "hub.org": "allow", "good.net": "allow", "friend.org": "allow"}
 
 
+def test_ranks_match_their_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(19)
+    hosts = [f"h{i}.com" for i in range(12)] + [f"h{i}.org" for i in range(12)] + [f"h{i}.net" for i in range(6)]
+    rows = []
+    for i in range(150):
+        host = rng.choice(hosts)
+        links = "".join(f'<A class=x HREF={rng.choice(["", chr(39)])}{rng.choice(["http://", "//", "https://"])}{rng.choice(hosts).upper()}/p>t</a>' for _ in range(rng.randrange(4)))
+        rows.append((i, rng.choice([f"http://{host}/{rng.choice(['en', 'de', 'es', 'fr'])}/1", None, "none"]) if i % 5 == 0 else f"http://{host}/{rng.choice(['en', 'de', 'es', 'fr'])}/{i}", links or None))
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), queries.URL_RULES).collect()}
+    base = duckdb.connect()
+    pages = pd.DataFrame(rows, columns=["page_id", "url", "html"])  # noqa: F841
+    base.execute("CREATE TABLE pages AS SELECT page_id, url, html FROM pages")
+    want = {r[0]: r[1:] for r in base.execute(queries.ORACLE_SQL["op3_urls"]).fetchall()}
+    assert got == want
+    by_link = [v for _, _, rule, v in got.values() if rule is None]
+    assert by_link.count("block") > 3 and by_link.count("allow") > 3
+
+
 # 4 html
 
 
@@ -390,10 +411,54 @@ def test_rules_learn_and_compile(spark):
     assert all(0 <= r.score <= 1 for r in odd.collect()) and odd.columns[:-1] == docs.columns
     empty = quality.fit_quality(docs, labels.where("false"))
     assert quality.score_quality(docs, empty).first().score == pytest.approx(0.5)
+    again = docs.where("doc_id = 0").crossJoin(spark.range(500).select(F.lit(1))).select(docs.columns)
+    assert quality.fit_quality(docs.unionByName(again), labels) == model
     one = quality.fit_quality(docs, labels.where("quality = 1"))
     assert quality.score_quality(docs, one).first().score > 0.99
 
 
+def test_statistics_match_plain_ones():
+    import pyarrow as pa
+
+    rng = random.Random(16)
+    texts = [None, "", "a", "One two two | THREE!\n\none two two | THREE!\nx, y; z", "é ü\u00a0#9 $", "same\n" * 40, "long " * 30000, *(words(rng, rng.randrange(1, 80), 20).replace(" ", rng.choice([" ", "\n", "  "])) for _ in range(30))]
+    got = np.concatenate([quality.statistics(t) for _, t in kernels.chunks(pa.array(texts), 200)])
+    assert np.allclose(got, [brute.statistics(t) for t in texts])
+
+
+def test_scores_match_the_rules(spark):
+    rng = random.Random(17)
+    texts = [words(rng, rng.randrange(5, 90), 300) + rng.choice(["", "!", " | |", "."]) for _ in range(200)] + [None, ""]
+    docs = frame(spark, texts)
+    model = quality.fit_quality(docs, spark.createDataFrame([(i, int(len((texts[i] or "").split()) > 40)) for i in range(150)], "doc_id long, quality int"))
+    for r in quality.score_quality(docs, model, keep=["doc_id"]).collect():
+        values = brute.statistics(texts[r.doc_id])
+        total = model.bias + sum(w for rule, w in model.rules if all((values[f] > cut) == above for f, above, cut in rule))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-total)), rel=1e-9)
+
+
+def test_weights_minimise_the_penalised_loss():
+    rng = np.random.default_rng(18)
+    x = rng.normal(size=(300, len(quality.STATISTICS)))
+    y = (x[:, 0] + 0.5 * x[:, 3] + rng.normal(size=300) > 0).astype(float)
+    how = quality.RuleFit(trees=5, steps=3000)
+    model = quality.fit_rules(x, y, how)
+    held = np.array([quality._holds(x, r) for r, _ in model.rules]).T.astype(float)
+    weights, scale = np.array([w for _, w in model.rules]), np.sqrt(np.maximum(held.mean(0) * (1 - held.mean(0)), 1e-3))
+    gap = 1 / (1 + np.exp(-(held @ weights + model.bias))) - y
+    # at the minimum each kept rule's gradient balances the penalty and the bias has none
+    assert gap.mean() == pytest.approx(0, abs=1e-4)
+    assert np.allclose(held.T @ gap / len(y) / scale, -how.penalty * np.sign(weights), atol=2e-4)
+
+
+def test_quality_of_clashing_columns(spark):
+    docs = frame(spark, ["a b c", None]).withColumns({"_stat_n_words": F.lit("mine"), "score": F.lit("x"), "_score": F.lit(1)})
+    model = quality.RuleModel(0.0, [(((0, True, 2.0),), 1.0)])
+    kept = quality.accepted(docs, model, 0.6)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.select("doc_id", "_stat_n_words", "score").collect()] == [(0, "mine", "x")]
+    assert quality.accepted(docs.where("false"), model, 0.6).count() == 0
+
+
 # 7 mixing
 
 
@@ -530,6 +595,33 @@ def test_join_of_odd_rows(spark):
     assert jaccard.jaccard_components(docs.where("false")).count() == 0
 
 
+def test_join_of_long_and_clashing_rows(spark):
+    rng = random.Random(20)
+    long_one = words(rng, 60000, 10**6)
+    docs = frame(spark, [long_one, long_one + " end", "x " * 50000, "x " * 9, "other"]).withColumns({"rep": F.lit(1), "component_id": F.lit("mine"), "kind": F.lit(2)})
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()}
+    assert out == brute.components([(r.doc_id, r.text) for r in docs.collect()])[0] and out[1][1] == 0 and out[3][1] == 2
+    kept = jaccard.one_of_each(docs, jaccard.jaccard_components(docs))
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2, 4]
+
+
+def test_long_lists_are_met_in_parts(spark):
+    rng = random.Random(21)
+    common = words(rng, 12, 10**6)
+    texts = [f"{common} {words(rng, rng.choice([0, 1, 2]), 10**6)}".strip() for _ in range(60)]
+    for rows in (3, 10**6):
+        out = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame(spark, texts), jaccard.JaccardJoin(list_rows=rows, frequent_shingles=5)).collect()}
+        assert out == brute.components(list(enumerate(texts)))[0]
+
+
+def test_frequent_shingles_are_bounded(spark):
+    rows = [(1, None, times, token) for token, times in ((5, 3), (6, 3), (7, 9), (8, 2), (9, 20_000), (10, 20_001))] + [(0, 1, 4, 4)]
+    profile = spark.createDataFrame(rows, "kind tinyint, id long, n long, fp long")
+    for most, want in ((0, []), (1, []), (2, [9, 10]), (3, [7, 9, 10]), (4, [7, 9, 10]), (5, [5, 6, 7, 9, 10]), (99, [5, 6, 7, 8, 9, 10])):
+        tokens, times = jaccard._frequent(profile, most)
+        assert tokens.tolist() == want and times.tolist() == [dict(((5, 3), (6, 3), (7, 9), (8, 2), (9, 20_000), (10, 20_001)))[t] for t in want]
+
+
 def test_one_of_each_stays(spark):
     docs = frame(spark, ["a b c d e f", "a b c d e f", None, "x y z"])
     kept = jaccard.one_of_each(docs, jaccard.jaccard_components(docs))
@@ -539,7 +631,7 @@ def test_one_of_each_stays(spark):
 def test_one_of_repeated_rows_stays(spark):
     text, other, third = "one two three four five six seven", "other words stand in this row here", "a third text that no id has"
     rows = [(3, text)] * 4 + [(7, text), (None, text), (9, other), (9, other), (9, ""), (None, third), (None, third.upper()), (4, None), (4, None), (None, "")]
-    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, place int")
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, place int").withColumns({"_fp": F.lit("mine"), "_n": F.lit(1), "row": F.lit(2)})
     kept = jaccard.one_of_each(docs, jaccard.jaccard_components(docs))
     out = sorted(((r.doc_id, (r.text or "").lower()) for r in kept.collect()), key=str)
     assert out == sorted([(3, text), (9, other), (None, third), (4, ""), (None, "")], key=str) and kept.columns == docs.columns
@@ -590,6 +682,14 @@ def test_round_trip_and_digests(spark):
         assert len(whole) == next(r.formatted_chars for r in out if r.conv_id == c)
 
 
+def test_long_and_odd_conversations(spark):
+    rows = [(1, 0, "user", "é[INST]" * 20000), (1, 1, "assistant", "x"), *[(2, t, "user", "same") for t in (0, 0, 0)]]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"conv": F.lit("clash"), "n_turns": F.lit(1)})
+    out = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.conversation_digests(turns).collect()}
+    assert out == {c: brute.conversation([(r[2], r[3]) for r in rows if r[0] == c]) for c in (1, 2)}
+    assert chat.format_conversations(turns.where("false")).count() == 0
+
+
 def test_turn_order(spark):
     turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "assistant", "a"), (3, 0, "system", "s"), (4, 0, "user", "a"), (4, 1, "user", "b"), (None, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     assert {r.conv_id: r.valid for r in chat.conversation_digests(turns).collect()} == {1: True, 2: False, 3: False, 4: False, None: True}
