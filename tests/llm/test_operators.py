@@ -501,9 +501,12 @@ def test_long_documents_are_settled_first(spark):
 
 def test_settling_keeps_chances():
     rng = random.Random(14)
-    first = [mixing.settle([50, 30], 44.0, 60, 3, rng) for _ in range(4000)]
-    assert np.mean([c[0] for c, _ in first]) == pytest.approx(44 / 140, abs=0.03) and np.mean([c[1] for c, _ in first]) == pytest.approx(44 / 140, abs=0.03)
-    assert all(50 * a + 30 * b + left == pytest.approx(44) and 0 <= left <= 180 for (a, b), left in first)
+    drawn = [mixing.settle([50, 30], 400.0, 1000, 3, rng) for _ in range(4000)]
+    for i in range(2):
+        assert np.mean([c[i] for c, _ in drawn]) == pytest.approx(400 / 1080, abs=0.03)
+    assert all(50 * a + 30 * b + left == pytest.approx(400) and 0 <= left <= 3000 for (a, b), left in drawn)
+    # the shorter ones can't give words back, so the longer one is left out
+    assert {c[0] for c, _ in (mixing.settle([50], 44.0, 60, 3, rng) for _ in range(50))} == {0}
 
 
 def test_mixing_takes_what_was_drawn(spark):
