@@ -232,3 +232,70 @@ def statistics(text):
         len(words), sum(map(len, words)) / n, len({*words}) / n, sum(a == b for a, b in zip(words, words[1:])) / n, share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share("0123456789"), share("#*$%&<>"), share("|"), share("!"), share(".,;:?"),
         len(words) / (text.count("\n") + 1), len({*lines}) / max(len(lines), 1),
     ]
+
+
+def _entropy(value):
+    return -sum(k / len(value) * math.log2(k / len(value)) for k in Counter(value).values())
+
+
+def protected(text):
+    """(kind, value, before, after) of the known forms and secrets of a text; before and after reach to the next match of the kind, valid or not."""
+    digits = lambda v: re.sub("[^0-9]", "", v)
+    forms = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", lambda v: True),
+        "ip": (r"[0-9]+(?:\.[0-9]+){3}", lambda v: all(int(x) <= 255 for x in v.split("."))),
+        "card": (r"[0-9](?:[\x20-]?[0-9])+", lambda v: 16 <= len(digits(v)) <= 19 and luhn(digits(v))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda v: 8 <= len(digits(v)) <= 15),
+        "secret": (r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}", lambda v: bool(re.search("[0-9]", v) and re.search("[A-Za-z]", v)) and _entropy(v) >= 3),
+    }
+    for kind, (pattern, valid) in forms.items():
+        found = [*re.finditer(pattern, text)]
+        cuts = [0, *(x for m in found for x in m.span()), len(text)]
+        for i, m in enumerate(found):
+            if valid(m[0]):
+                yield kind, m[0], text[cuts[2 * i] : m.start()], text[m.end() : cuts[2 * i + 3]]
+
+
+def terms(text):
+    """Words with a letter outside of emails, lower-case."""
+    plain = re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", " ", text).lower()
+    return [w for w in re.findall(r"[^\W_]+", plain) if re.search(r"[^\W\d_]", w)]
+
+
+def revealing(texts, threshold=0.9, least=3, window=10, prior=0.5):
+    """term -> disclosure of the terms that reveal protected entities, counted from the definition."""
+    texts = sorted({t or "" for t in texts})
+    words = [terms(t) for t in texts]
+    values, beside, holders = defaultdict(set), defaultdict(set), set()
+    for d, text in enumerate(texts):
+        for kind, value, before, after in protected(text):
+            holders.add(d)
+            values[kind, value].add(d)
+            for w in terms(before)[-window:] + terms(after)[:window]:
+                beside[(kind, value), w].add(d)
+    entities = defaultdict(set)
+    for (kind, value), own in values.items():
+        entities[(kind, value) if len(own) >= least else kind] |= own
+    seen = defaultdict(set)
+    for d, own in enumerate(words):
+        for w in own:
+            seen[w].add(d)
+
+    def disclosed(both, entity, word):
+        p = entity / len(texts)
+        return 1 - math.log((min(both, len(seen[word])) + prior * p) / (len(seen[word]) + prior)) / math.log(p) if entity < len(texts) else -1.0
+
+    out = defaultdict(lambda: -1.0)
+    for (value, w), own in beside.items():
+        if w in seen:
+            out[w] = max(out[w], disclosed(len(own), len(values[value]), w))
+    for entity, own in entities.items():
+        contexts, both = defaultdict(set), defaultdict(set)
+        for d in own:
+            for i, w in enumerate(words[d]):
+                contexts[w].add(tuple(words[d][j] if 0 <= j < len(words[d]) else "" for j in (i - 2, i - 1, i + 1, i + 2)))
+                both[w].add(d)
+        for w, c in contexts.items():
+            if len(c) >= least:
+                out[w] = max(out[w], disclosed(len(both[w]), len(own), w))
+    return {w: x for w, x in out.items() if x >= threshold}

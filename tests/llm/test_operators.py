@@ -96,6 +96,22 @@ def test_terms_of_rare_entities(spark):
     assert {i for i, v in found.items() if v == ["Zorblatt"]} == {*range(6), len(texts) - 1} and found[6] == ["Quibbly"]
 
 
+@pytest.mark.parametrize("threshold", [0.6, 0.9])
+def test_disclosure_matches_brute_force(spark, threshold):
+    rng = random.Random(22)
+    people = [(f"name{i}", f"u{i}@h{i}.example") for i in range(8)]
+    texts = []
+    for _ in range(160):
+        name, mail = rng.choice(people) if rng.random() < 0.4 else ("", "")
+        parts = [words(rng, rng.randrange(1, 14), 60), rng.choice([name, name.upper()]), mail, rng.choice(["10.0.0.%d" % rng.randrange(300), f"key {rng.getrandbits(120):x}", "", "", "4111 1111 1111 1111 then +49 30 1234567"]), words(rng, rng.randrange(14), 60), rng.choice(["", name])]
+        rng.shuffle(parts)
+        texts.append(" ".join(parts))
+    texts += texts[:20] + [None, "", "Ünïcode name1 u1@h1.example ÉTÉ"]
+    found = pii.revealing_terms(frame(spark, texts), pii.Disclosure(threshold=threshold), "text")[0]
+    want = brute.revealing(texts, threshold)
+    assert {r.term: r.disclosure for r in found.collect()} == pytest.approx(want, abs=1e-9) and len(want) > 5
+
+
 def test_secrets_are_found_by_their_information(spark):
     key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
     texts = [f'say token = "{key}"$$$ de', "a" * 30 + "1", "1234567890" * 4, "x-" * 30, f"{key}@mail.example.com", "plain words of a clean text", f"é😀 {key[:20]}, {key[:19]}"]

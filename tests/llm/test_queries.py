@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
-from quantloom.llm import queries
+from quantloom.llm import langid, pii, quality, queries
 from tests.llm import brute
 
 DIR = "/root/testdata/sf0.001"
@@ -23,21 +26,44 @@ def test_pii_query(spark, texts):
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) == brute.pii(texts[r.doc_id])[:5]
 
 
-def test_language_query(spark):
+def test_revealing_terms_of_a_table(spark, texts):
+    docs = queries.table(spark, DIR, "documents")
+    found = pii.revealing_terms(docs, pii.Disclosure(), "text")
+    assert {r.term for r in found[0].collect()} == {*brute.revealing(texts.values())}
+
+
+def test_language_query(spark, texts):
     t = pq.read_table(f"{DIR}/documents.parquet", columns=["doc_id", "lang"]).to_pydict()
     lang = dict(zip(t["doc_id"], t["lang"], strict=True))
     rows = queries.op2_language(spark, DIR).collect()
     assert len(rows) == len(lang) and all(r.held_out == brute.held_out(r.doc_id) for r in rows)
     own = [r.lang_pred == lang[r.doc_id] for r in rows if r.held_out and lang[r.doc_id]]
     assert sum(own) >= 0.95 * len(own)
+    # every prediction is the language with the shortest code, text by text
+    docs = queries.table(spark, DIR, "documents")
+    model = langid.fit_language_model(docs.where(~queries.held_out()))
+    for r in rows:
+        data = np.frombuffer((texts[r.doc_id] or "").encode(), np.uint8)
+        bits = model.bits(data, np.array([0, len(data)]))[0]
+        known = any(c.isalpha() for c in texts[r.doc_id] or "")
+        assert r.lang_pred == (model.languages[int(bits.argmin())] if known else "und")
+        assert r.score == pytest.approx(1 / sum(2.0 ** max(bits.min() - b, -1000) for b in bits) if known else 0, rel=1e-6)
 
 
-def test_quality_query(spark):
+def test_quality_query(spark, texts):
     t = pq.read_table(f"{DIR}/labels.parquet").to_pydict()
     label = dict(zip(t["doc_id"], t["quality"], strict=True))
     rows = queries.op6_quality(spark, DIR).collect()
-    own = [r.predicted == label[r.doc_id] for r in rows if r.doc_id in label]
-    assert sum(own) >= 0.9 * len(own)
+    held = [r.predicted == label[r.doc_id] for r in rows if r.doc_id in label and r.held_out]
+    assert held and sum(held) >= 0.9 * len(held)
+    docs, labels = queries.table(spark, DIR, "documents"), queries.table(spark, DIR, "labels")
+    assert all(r.held_out == brute.held_out(r.doc_id) for r in rows) and len(rows) == len(texts)
+    # every score, from plain statistics and the model's rules one by one
+    model = quality.fit_quality(docs, labels.where(~queries.held_out()))
+    for r in rows:
+        values = brute.statistics(texts[r.doc_id])
+        total = model.bias + sum(w for rule, w in model.rules if all((values[f] > cut) == above for f, above, cut in rule))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-total)), rel=1e-9) and r.predicted == int(r.score >= 0.3)
 
 
 def test_mixing_query(spark, texts):
