@@ -227,7 +227,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, how: RuleFit | None = None) -> RuleM
 def fit_quality(docs: DataFrame, labels: DataFrame, how: RuleFit | None = None, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> RuleModel:
     """Fit on the labelled ``docs``. Of an id's labels the largest counts; null ids and labels are left out.
 
-    ``sample_rows`` bounds the sample; its ids are drawn by hash, and of each one text is taken.
+    ``sample_rows`` bounds the sample; its ids are drawn by hash; one with several texts counts once.
     """
     how = how or RuleFit()
     known = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isNotNull()).groupBy(F.col(id_column).alias("label_id")).agg(F.max(label_column).alias("label"))
@@ -235,9 +235,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, how: RuleFit | None = None,
     drawn = known.where(F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, how.sample_rows / max(n, 1))))
     narrow = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("text is not null")
     joined = narrow.join(bounded(drawn), F.col("id") == F.col("label_id")).select("id", "text", "label")
-    # of an id's texts the one with the least statistics counts, so that the driver gets no more rows than ids were drawn
-    least = with_statistics(joined, "text", ["id", "label"]).groupBy("id").agg(F.min(F.struct("label", *(PREFIX + s for s in STATISTICS))).alias("row"))
-    table = least.select("id", "row.*").toPandas().sort_values("id")
+    # an id with several texts counts once, with the least of each statistic, so that the driver gets no more rows than ids were drawn
+    least = with_statistics(joined, "text", ["id", "label"]).groupBy("id").agg(*(F.min(c).alias(c) for c in ("label", *(PREFIX + s for s in STATISTICS))))
+    table = least.toPandas().sort_values("id")
     return fit_rules(table[[PREFIX + s for s in STATISTICS]].to_numpy(float), table["label"].to_numpy(float), how)
 
 
